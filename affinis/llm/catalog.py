@@ -1,7 +1,9 @@
 """The subpackage's queries, and the DuckDB SQL of those that SQL can express."""
 
+from affinis.llm.mixing import OP4_SQL, op4_mix_sources
 from affinis.llm.packing import op7_best_fit
 from affinis.llm.token_files import op9_token_files
+from affinis.llm.urls import OP5_SQL, op5_url_reputation
 
-QUERIES = {f.__name__: f for f in (op7_best_fit, op9_token_files)}
-ORACLES: dict = {}
+QUERIES = {f.__name__: f for f in (op4_mix_sources, op5_url_reputation, op7_best_fit, op9_token_files)}
+ORACLES = {"op4_mix_sources": OP4_SQL, "op5_url_reputation": OP5_SQL}

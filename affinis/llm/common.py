@@ -33,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession) -> None:
+    """Let the cleaner delete the shuffle files of what has been cut off by now; they would stay until the driver's next collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again, and the path."""
     spark = df.sparkSession

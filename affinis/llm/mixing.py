@@ -16,18 +16,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.llm.common import WORD, cut, table
+from affinis.llm.common import WORD, cut, partitions, table
 
 BLOCK, ROUNDS, SLOTS = 64, 6, 4096
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, skey, h): words of whole texts; skey tells a null source from any other; h orders documents."""
+    """(doc_id, source, size, skey, h, th): words of whole texts; skey tells a null source from any other; h orders documents."""
     return docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"), F.xxhash64("text").alias("th"),
     )
 
 
@@ -74,7 +74,7 @@ def mixture(plan: DataFrame, shard_slots: int = SLOTS) -> DataFrame:
     """(shard, skey, slot, block): every slot of the mix, the output shard that it fell to, and the block that fills it."""
     total = Window.partitionBy()
     runs = plan.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(total) / shard_slots))).where("slots > 0")
-    runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOTS)))).repartition("skey", "run")
+    runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOTS)))).repartition(partitions(plan.sparkSession), "skey", "run")
     one = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * SLOTS, F.least((F.col("run") + 1) * SLOTS, "slots") - 1)))
     shard = F.pmod(hex_number(F.concat_ws("/", "skey", "slot")), F.col("shards"))
     return permuted(one.select("skey", "slot", "blocks", "mirrors", shard.alias("shard"))).select("shard", "skey", "slot", "block")
@@ -82,7 +82,7 @@ def mixture(plan: DataFrame, shard_slots: int = SLOTS) -> DataFrame:
 
 def placed(sized: DataFrame, plan: DataFrame, block: int = BLOCK) -> DataFrame:
     """sized with start, the words of its source before it. Order: h, doc_id, size; cut into chunks by the leading digits of h,
-    whose totals are summed first, so that no source's rows meet in one task."""
+    whose totals are summed first, so that no source's rows meet in one task; source_size and target come along."""
     chunks = max(1, min(1 << 20, sized.count() // 4000))
     sized = sized.withColumn("chunk", F.floor(F.conv(F.substring("h", 1, 5), 16, 10).cast("long") * chunks / (1 << 20)))
     before = Window.partitionBy("skey").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,13 +91,13 @@ def placed(sized: DataFrame, plan: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     within = Window.partitionBy("skey", "chunk").orderBy("h", "doc_id", "size")
     start = F.col("base") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = bases.join(plan.select("skey", "source_size", "target"), "skey")
     rows = sized.join(bases, ["skey", "chunk"]).withColumn("start", start).withColumn("row", F.row_number().over(within))
-    return rows.join(plan.select("skey", "source_size", "target"), "skey")
+    return rows
 
 
-def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of every document."""
-    sized = cut(sizes(docs))
+def dealt(sized: DataFrame, block: int) -> DataFrame:
+    """A row for each block of each document (block null: no words): what placed() gives, overlap, and times the block is taken."""
     plan = cut(targets(sized, block=block))
     picks = mixture(plan).groupBy("skey", "block").agg(F.count("*").alias("times"))
     last = F.floor((F.col("start") + F.col("size") - 1) / block)
@@ -105,14 +105,50 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         "block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), last)))
     )
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    # both sides grow with the corpus
+    return parts.withColumn("overlap", overlap).join(picks.hint("merge"), ["skey", "block"], "left")
+
+
+def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document."""
     return (
-        parts.withColumn("overlap", overlap).join(picks, ["skey", "block"], "left")
+        dealt(cut(sizes(docs)), block)
         .groupBy("skey", "chunk", "row", "doc_id", "size", "source_size", "target")
         .agg(F.coalesce(F.sum(F.col("overlap") * F.col("times")), F.lit(0)).alias("taken"))
         .select("doc_id", "size", "source_size", "target", "taken")
     )
 
 
+def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix as documents, with docs' columns: a row for each pass in which a document is taken, with the words that are.
+
+    A text taken whole stays as it is; of others the words taken are joined by spaces. n_chars, where present, follows.
+    """
+    parts = dealt(cut(sizes(docs)), block).where("times > 0")
+    which = ["doc_id", "th", "skey"]
+    offset = F.greatest("start", F.col("block") * block) - F.col("start")
+    taken = (
+        parts.groupBy(*which, "chunk", "row", "size").agg(F.sort_array(F.collect_list(F.struct(offset.alias("at"), F.col("overlap").alias("n"), "times"))).alias("ranges"))
+        .withColumn("copy", F.row_number().over(Window.partitionBy(*which).orderBy("chunk", "row")))
+        .withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("ranges", lambda r: r["times"])))))
+        .withColumn("ranges", F.filter("ranges", lambda r: r["times"] >= F.col("pass")))
+    )
+    whole = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["n"]) == F.col("size")
+    rows = docs.withColumns({"th": F.xxhash64("text"), "skey": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))}).select(F.struct(*docs.columns).alias("row"), "doc_id", "th", "skey")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*which).orderBy("th")))
+    keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in which] + [F.col("a.copy") == F.col("b.copy")]
+    both = rows.alias("a").join(taken.select(*which, "copy", "ranges", whole.alias("whole")).alias("b"), keys[0] & keys[1] & keys[2] & keys[3])
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD), F.lit(0))
+    spelt = both.select("row", "whole", "ranges", words.alias("words")).select(
+        "row",
+        F.when(F.col("whole"), F.col("row.text")).otherwise(
+            F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice("words", (r["at"] + 1).cast("int"), r["n"].cast("int")))), " ")
+        ).alias("text"),
+    )
+    out = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
+    return spelt.select(*(out[c].alias(c) if c in out else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
     """All documents, mixed by the standard weights."""
     return mix(table(spark, sf_dir, "documents"))

@@ -11,7 +11,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts are large rows: fewer of them at a time go to a Python worker, unless the session says how many."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared checkpoint folder now: computed once, and no executor's loss undoes them."""
     shared_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -41,6 +50,13 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def slices(batches, rows: int = 256):
+    """The same Arrow rows in smaller batches, so that few texts at a time are Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again, and the path."""
     spark = df.sparkSession

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from affinis.llm.common import cut, partitions, table
+from affinis.llm.common import cut, partitions, slices, table
 from affinis.llm.tokens import default_path, encoder
 
 
@@ -32,7 +32,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, lengt
 
     def run(batches):
         e = encoder(path)
-        for b in batches:
+        for b in slices(batches):
             rows, at = [], []
             for k, text in enumerate(b.column(1).to_pylist()):
                 ids = np.append(e.encode(text), e.dtype.type(end_id)).astype("<u4")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import cut, held_out, labels_of, table
+from affinis.llm.common import cut, held_out, labels_of, slices, table
 
 FEATURES, GAMMA, RIDGE, BINS, SEED, THRESHOLD = 256, 0.03, 1e-3, 1024, 11, 0.7
 KIND = np.zeros(256, dtype=np.uint8)  # 1 upper, 2 lower, 3 digit, 4 blank, 5 sentence mark, 6 other sign, 7 not ASCII
@@ -60,7 +60,7 @@ def measured(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             stats = np.array([statistics(t) for t in b.column(1).to_pylist()], dtype=np.float32).reshape(-1, STATS)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(stats), pa.list_(pa.float32()))], names=["doc_id", "stats"])
 

@@ -22,9 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import components, cut, table
+from affinis.llm.common import components, cut, slices, table
 
-BITS, RADIUS, PER_BUCKET, PASS = 64, 2, 512, 4_000_000
+BITS, RADIUS, PER_BUCKET, PASS = 64, 2, 512, 1_000_000
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.int64())], names=["doc_id", "th", "fp"])
 

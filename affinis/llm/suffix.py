@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import cut, partitions, released, table
+from affinis.llm.common import cut, partitions, released, slices, table
 
 WINDOW, GRAM, GROUP = 200, 64, 5_000
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -95,7 +95,7 @@ def all_runs(docs: DataFrame, window: int) -> DataFrame:
     """(anchor, content, doc, th, first, n): every run of every document; doc and th together name its text."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found, lengths = [], []
             for t in b.column(2).to_pylist():
                 found.append(runs(as_bytes(t), window))
@@ -116,7 +116,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in slices(batches):
             z = [pack.compress((t or "").encode()) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(z, pa.binary())], names=["doc", "th", "z"])
 
@@ -167,7 +167,7 @@ def shared_windows(reps: DataFrame, window: int) -> DataFrame:
             )
 
     def spelt(batches):
-        for b in batches:
+        for b in slices(batches):
             if not b.num_rows:
                 continue
             c = {k: b.column(b.schema.get_field_index(k)) for k in ("anchor", "doc", "th", "first", "before", "bytes")}
@@ -204,7 +204,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     by_text = reps.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "first", "n", "members")).alias("runs"))
 
     def cut_out(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc, th, z, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = unpacked(z)
@@ -244,7 +244,7 @@ def kept_parts(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> Da
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in slices(batches):
             z = [press.compress((t or "").encode()) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(z, pa.binary()), *b.columns[1:]], names=["z", *b.schema.names[1:]])
 
@@ -252,7 +252,7 @@ def kept_parts(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> Da
     small = rows.select("text", "doc", "th", "doc_id", *extra).mapInArrow(pack, f"z binary, doc long, th long{kinds}")
 
     def finish(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for z, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = unpacked(z)

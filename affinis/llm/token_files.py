@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import partitions, removed, shared_dir, table, written
+from affinis.llm.common import partitions, removed, shared_dir, slices, table, written
 from affinis.llm.tokens import default_path, encoder
 
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1  # bytes of the four ranks of a control byte
@@ -60,7 +60,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     def run(batches):
         e = encoder(path)
         end = np.array([] if end_id is None else [end_id], dtype=e.dtype).tobytes()
-        for b in batches:
+        for b in slices(batches):
             ids = [e.encode(t).tobytes() + end for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
@@ -96,7 +96,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
-        for b in batches:
+        for b in slices(batches):
             codes = [(len(i) // width, *encode_ranks(rank_of[np.frombuffer(i, dtype=f"<u{width}")])) for i in b.column(1).to_pylist()]
             n, control, data = zip(*codes, strict=True) if codes else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -136,7 +136,7 @@ def read_tokens(spark, out: str, digest: bool = False) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def decode(batches):
-        for b in batches:
+        for b in slices(batches):
             ids = [by_rank[decode_ranks(c, d, n)] for n, c, d in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True)]
             last = pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()) if digest else pa.array([i.astype(np.int64) for i in ids], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], last], names=["shard", "at", "doc_id", "n_tokens", "last"])

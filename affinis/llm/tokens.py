@@ -12,9 +12,11 @@ from functools import lru_cache
 
 import numpy as np
 
-PIECES, WORDS = 500_000, 400_000  # entries kept; beyond that the cache starts anew
+PIECES, WORDS = 120_000, 90_000  # entries of a generation; when full, the one before goes and what is asked for again stays
 SPACE = re.compile(r" (?=[!-~À-ɏ])")
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]*)").fullmatch
+LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r"[!-/:-@\[-`{-~]*"
+# a word or number with signs after it, perhaps over a line's end: how pre-tokenization parts it is plain
+PLAIN = re.compile(f"({LETTERS}|[0-9]+|)({SIGNS})(?:\n({LETTERS})({SIGNS}))?").fullmatch
 SAFE = re.compile(r"[!-~À-ɏ]").match
 
 
@@ -49,36 +51,54 @@ class Encoder(dict):
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.dtype.itemsize
+        self.as_bytes = [i.to_bytes(size, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.letters = byte_letters()
+        self.blank = self.letters[32]
         self.words: dict[str, bytes] = {}
-
-    def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        self.old_words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def library(self, text: str) -> bytes:
-        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join([self.as_bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def word(self, word: str) -> bytes:
         """Of a piece that pre-tokenization leaves whole."""
         found = self.words.get(word)
         if found is None:
+            found = self.old_words.get(word)
+            if found is None:
+                spelt = word.replace(" ", self.blank) if word.isascii() and "\n" not in word else word.encode().decode("latin-1").translate(self.letters)
+                ids = self.as_bytes
+                found = b"".join([ids[t.id] for t in self.model.tokenize(spelt)])
             if len(self.words) >= WORDS:
-                self.words.clear()
-            spelt = word.encode().decode("latin-1").translate(self.letters)
-            found = self.words[word] = self.pack([t.id for t in self.model.tokenize(spelt)])
+                self.old_words, self.words = self.words, {}
+            self.words[word] = found
         return found
 
     def piece(self, piece: str, lead: str) -> bytes:
-        if m := PLAIN(piece):
-            word, signs = m.groups()
-            return self.word(lead + word) + self.word(signs) if signs else self.word(lead + word)
-        return self.library(lead + piece)
+        m = PLAIN(piece)
+        if m is None or not piece:
+            return self.library(lead + piece)
+        word, signs, second, more = m.groups()
+        word_of = self.word
+        if second is None:
+            if signs:
+                return word_of(lead + word) + word_of(signs) if word else word_of(lead + signs)
+            return word_of(lead + word)
+        found = word_of(lead + word) + (word_of(signs) if signs else b"") if word else word_of(lead + signs) if signs else None
+        if found is None:
+            return self.library(lead + piece)
+        return found + word_of("\n") + word_of(second) + (word_of(more) if more else b"")
 
     def __missing__(self, piece: str) -> bytes:
-        if not SAFE(piece):
-            raise _Unsafe
-        found = self.piece(piece, " ")
+        found = self.old.get(piece)
+        if found is None:
+            if not SAFE(piece):
+                raise _Unsafe
+            found = self.piece(piece, " ")
         if len(self) >= PIECES:
+            self.old = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = found

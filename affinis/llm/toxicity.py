@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import cut, held_out, labels_of, table
+from affinis.llm.common import cut, held_out, labels_of, slices, table
 
-FIT_ROWS, FEATURES, LEAST_DOCS, THRESHOLD, CACHE = 12_000, 1_500, 4, 0.3, 400_000
+FIT_ROWS, FEATURES, LEAST_DOCS, THRESHOLD, CACHE = 12_000, 1_500, 4, 0.3, 100_000
 WORDS = re.compile(r"[^\W\d_]+").findall
 SENTENCE = re.compile(r"[.!?\n]+")
 # Sets of identity terms whose swap leaves a sentence's toxicity as it is.
@@ -74,18 +74,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple[dict
         return {}, float(np.log(rate / (1 - rate))) if rate else -20.0
 
     def counted(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 200):  # so many texts' counts at a time
-                n, t = Counter(), Counter()
-                for y, text in zip(b.column(0).slice(k, 200).to_pylist(), b.column(1).slice(k, 200).to_pylist(), strict=True):
-                    own = features(text)
-                    n.update(own)
-                    if y:
-                        t.update(own)
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([t[f] for f in n], pa.int64())], names=["f", "n", "t"])
+        for b in slices(batches, 64):  # so many texts' counts at a time
+            n, t = Counter(), Counter()
+            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = features(text)
+                n.update(own)
+                if y:
+                    t.update(own)
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([t[f] for f in n], pa.int64())], names=["f", "n", "t"])
 
     def swapped(batches):
-        for b in batches:
+        for b in slices(batches):
             n = Counter(s for text in b.column(0).to_pylist() for s in mentions(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["s", "n"])
 
@@ -100,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple[dict
 
     def numbered(batches):
         scorer = Scorer(dict.fromkeys(names, 0.0))
-        for b in batches:
+        for b in slices(batches):
             own = [scorer.hits(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int32()))], names=["y", "k"])
 
@@ -181,7 +180,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
 
     def run(batches):
         scorer = Scorer(weights)
-        for b in batches:
+        for b in slices(batches):
             s = np.array([scorer.of(t) for t in b.column(at).to_pylist()], dtype=np.float64) + intercept
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30))))], names=[*b.schema.names, "toxic_score"])
 

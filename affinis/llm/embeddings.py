@@ -1,11 +1,11 @@
 """Embedding near-duplicates on a robust-pruned flat graph.
 
 Equal vectors make one class. A bounded sample of classes gives cluster centres (a few Lloyd rounds); every class joins the
-shards of its OVERLAP nearest centres, and each shard builds a pruned proximity graph: of a vertex's nearest candidates one is
+shards of its OVERLAP nearest centres and of all within MARGIN of the nearest, and each shard builds a pruned proximity graph: of a vertex's nearest candidates one is
 kept only if no kept one is closer to it by the factor ALPHA. Adjacency lists of a vertex from all its shards are united, both
-ways. Every vector then searches the home shards of all centres within MARGIN of its nearest one: a greedy beam search from
+ways. Every vector then searches its shards: a greedy beam search from
 the medoids of the shard and of its stretches over the united lists, and from every hit on a range expansion: neighbours of hits, until none is new.
-What it meets is verified in double precision; each pair counts in the home shard of the vector found, so once.
+What it meets is verified in double precision; each pair counts in the shard nearest to the vector found, so once.
 
 Each shard audits a sample of its vectors against brute force; where a link was missed, its search is repeated with a beam as
 wide as need be. A shard above BLOCK vectors is dealt over blocks with a graph of their own, which every query of the shard
@@ -184,28 +184,25 @@ def links(classes: DataFrame, c: np.ndarray, threshold: float) -> DataFrame:
             x = stacked(b.column(2))
             s = x / np.linalg.norm(x, axis=1, keepdims=True) @ c.T
             order = np.argsort(-s, axis=1, kind="stable")
-            member = order[:, : min(OVERLAP, len(c))]
             asks = s >= s.max(axis=1, keepdims=True) - MARGIN
-            asks[np.arange(len(s))[:, None], member] = True
+            asks[np.arange(len(s))[:, None], order[:, : min(OVERLAP, len(c))]] = True
             row, shard = np.nonzero(asks)
             home = shard == order[row, 0]
-            inside = home | (member[row] == shard[:, None]).any(axis=1)
-            ask = s[row, shard] >= s.max(axis=1)[row] - MARGIN
             t = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.astype(np.int64)), b.column(0).take(t), b.column(1).take(t), b.column(2).take(t), pa.array(home), pa.array(inside), pa.array(ask)],
-                names=["shard", "k", "weight", "v", "home", "inside", "ask"],
+                [pa.array(shard.astype(np.int64)), b.column(0).take(t), b.column(1).take(t), b.column(2).take(t), pa.array(home)],
+                names=["shard", "k", "weight", "v", "home"],
             )
 
-    kinds = "shard long, k long, weight long, v array<double>, home boolean, inside boolean, ask boolean"
+    kinds = "shard long, k long, weight long, v array<double>, home boolean"
     dealt = cut(classes.select("k", "weight", "v").mapInArrow(assign, kinds))
     # a row for each shard
-    sizes = {r.shard: r.n for r in dealt.where("inside").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    sizes = {r.shard: r.n for r in dealt.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     blocks = {s: max(1, math.ceil(n / BLOCK)) for s, n in sizes.items()}
     parts = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for s, n in blocks.items() for x in (s, n))), F.col("shard")), F.lit(1)) if blocks else F.lit(1)
     own = F.pmod(F.xxhash64("k"), parts)
-    inside = dealt.where("inside").withColumns({"block": own, "ask": F.lit(False)})
-    asking = dealt.where("ask").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumns({"inside": F.lit(False), "home": F.lit(False)})
+    inside = dealt.withColumns({"block": own, "inside": F.lit(True), "ask": F.lit(False)})
+    asking = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumns({"inside": F.lit(False), "ask": F.lit(True), "home": F.lit(False)})
     both = inside.unionByName(asking)
 
     def run(rows):

@@ -1,0 +1,43 @@
+"""Sliding-window counts over event time, for batch rows and streams alike."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def windowed(df: DataFrame, ts: str = "ts", length: str = "30 minutes", slide: str = "10 minutes") -> DataFrame:
+    """df with start: a row for each window that holds it."""
+    return df.withColumn("w", F.window(F.col(ts).cast("timestamp"), length, slide)).withColumn("start", F.col("w.start")).drop("w")
+
+
+def sliding_distinct(df: DataFrame, key: str, ts: str = "ts", length: str = "30 minutes", slide: str = "10 minutes") -> DataFrame:
+    return windowed(df, ts, length, slide).groupBy("start").agg(F.count_distinct(key).alias("n"))
+
+
+def stream_distinct(stream: DataFrame, key: str, exact: bool, ts: str = "ts", length: str = "30 minutes", slide: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """Distinct keys of each window of a stream: exact (the state keeps the keys) or estimated."""
+    n = F.size(F.collect_set(key)).cast("long") if exact else F.approx_count_distinct(key)
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return timed.groupBy(F.window(ts, length, slide).alias("w")).agg(n.alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
+def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over what there is now, and give its table."""
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def reservoir_stream(stream: DataFrame, key: str, size: int, each):
+    """Feed every micro-batch into a priority sample of `size` rows; each(sample, batch number) sees it. Returns the writer."""
+    kept: list = []
+
+    def step(batch, number):
+        nonlocal kept
+        spark = batch.sparkSession
+        rows = batch if not kept else batch.unionByName(spark.createDataFrame(kept, batch.schema))
+        kept = rows.orderBy((F.col(key) * 7919 + 104729) % 149399, key).limit(size).collect()  # at most `size` rows
+        each(spark.createDataFrame(kept, batch.schema), number)
+
+    return stream.writeStream.foreachBatch(step)

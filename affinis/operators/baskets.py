@@ -56,7 +56,7 @@ def fp_growth(basket_rows: DataFrame, support: int) -> DataFrame:
     from pyspark.ml.fpm import FPGrowth
 
     n = basket_rows.count()
-    if not n:
+    if n < support:
         return basket_rows.sparkSession.createDataFrame([], "size long, items string, freq long")
     sets = FPGrowth(itemsCol="items", minSupport=max(0.0, (support - 0.5) / n)).fit(basket_rows).freqItemsets.where(F.col("freq") >= support)
     return sets.select(F.size("items").cast("long").alias("size"), F.array_join(F.transform(F.array_sort("items"), lambda i: i.cast("string")), ",").alias("items"), "freq")

@@ -117,7 +117,7 @@ def whole(edges: DataFrame, run, schema: str) -> DataFrame:
             adjacent.setdefault(v, set()).add(u)
         return pd.DataFrame(run(adjacent), columns=[c.split()[0] for c in schema.split(", ")])
 
-    return edges.select("u", "v").groupBy(F.lit(0)).applyInPandas(one, schema)
+    return edges.select("u", "v", F.lit(0).alias("all")).groupBy("all").applyInPandas(one, schema)
 
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:

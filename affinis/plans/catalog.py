@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from affinis import streaming
+from affinis.functions import PRIME, euclidean
+from affinis.operators import baskets, cf, clustering, graph, similarity, sketches, stats
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+STOP = ["the", "of", "and", "to", "a", "in", "de", "la", "der", "die"]
+STOPS = ", ".join(f"'{w}'" for w in STOP)
 
 
 def query(oracle: str | None = None):
@@ -24,9 +30,426 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(df, *cols: str):
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
+# statistics
+
+@query("SELECT count(*) AS n FROM orders WHERE year(o_orderdate) = 1997")
+def review_count_by_year(spark, d):
+    return stats.count_by_year(table(spark, d, "orders"), "o_orderdate", 1997)
+
+
+@query("SELECT count(DISTINCT o_custkey) AS n FROM orders")
+def distinct_users(spark, d):
+    return stats.distinct_count(table(spark, d, "orders"), "o_custkey")
+
+
 @query("SELECT o_custkey AS user_id, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10")
-def top_users(spark, sf_dir):
-    return (
-        table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "user_id").limit(10)
-    )
+def top_users(spark, d):
+    return stats.top_keys(table(spark, d, "orders"), "o_custkey", 10, "user_id")
+
+
+WORD_SQL = r"""SELECT doc_id, source, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '%s', ' ', 'g'), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS word FROM documents"""
+NARROW_SQL = WORD_SQL % r"[(\[,.!?:;\])]"
+WIDE_SQL = WORD_SQL % r"[{}+=~*%%#$@(\-/\[,.!?&:;\]0-9)\"]".replace("%%", "%")
+
+
+@query(f"SELECT word, count(*) AS n FROM ({NARROW_SQL}) WHERE word NOT IN ({STOPS}) GROUP BY 1 ORDER BY n DESC, word LIMIT 20")
+def top_words(spark, d):
+    return stats.top_words(table(spark, d, "documents"), "text", STOP, 20)
+
+
+@query("""SELECT category, round(avg(l_quantity), 6) AS mean FROM (SELECT p_partkey, trim(unnest(string_split(p_name, ' '))) AS category FROM part)
+JOIN lineitem ON l_partkey = p_partkey GROUP BY 1 ORDER BY mean DESC, category LIMIT 20""")
+def category_avg(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rounded(stats.category_avg(rows, "p_name", "l_quantity", 20, " "), "mean")
+
+
+@query()
+def partition_sizes(spark, d):
+    return stats.partition_sizes(table(spark, d, "lineitem"), 16, F.substring(F.col("l_suppkey").cast("string"), 1, 1))
+
+
+@query("SELECT l_suppkey AS item, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 600")
+def item_count_over_n(spark, d):
+    return stats.keys_over(table(spark, d, "lineitem"), "l_suppkey", 600, "item")
+
+
+@query("SELECT s_suppkey AS item, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2")
+def state_filter_join(spark, d):
+    n = table(spark, d, "nation").where("n_regionkey = 2")
+    return table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("item"), "s_name", "n_name")
+
+
+@query("SELECT (event_id * 7919 + 104729) % 149399 AS h, event_id FROM events WHERE (event_id * 7919 + 104729) % 149399 < 7469")
+def sample_hash(spark, d):
+    return stats.hash_sample(table(spark, d, "events"), "event_id", 0.05).select(((F.col("event_id") * 7919 + 104729) % 149399).alias("h"), "event_id")
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY (event_id * 7919 + 104729) % 149399, event_id LIMIT 100")
+def reservoir_sample(spark, d):
+    return stats.reservoir(table(spark, d, "events"), "event_id", 100).select("event_id", "user_id")
+
+
+def tags(spark, d):
+    e = table(spark, d, "events")
+    return e.select("user_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "ts", "value")
+
+
+TAGS = "SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts, value FROM events"
+PAIRS = f"SELECT DISTINCT user_id AS key, k AS item FROM ({TAGS}) WHERE user_id IS NOT NULL AND k IS NOT NULL"
+
+
+@query(f"SELECT key, n, level FROM (SELECT k AS key, count(*) AS n, dense_rank() OVER (ORDER BY count(*) DESC) AS level FROM ({TAGS}) GROUP BY k) WHERE level <= 3")
+def tag_top_levels(spark, d):
+    return stats.top_levels(tags(spark, d), "k", 3)
+
+
+@query()
+def approx_distinct(spark, d):
+    return table(spark, d, "orders").agg(F.approx_count_distinct("o_custkey").alias("n"))
+
+
+# baskets
+
+def event_pairs(spark, d):
+    return baskets.pairs(tags(spark, d), "user_id", "k")
+
+
+def basket_sql(key, item):
+    return f"SELECT {key} AS key, array_to_string(list(DISTINCT {item} ORDER BY {item}), ',') AS items, count(DISTINCT {item}) AS n FROM ({TAGS}) GROUP BY 1"
+
+
+def as_text(b):
+    return b.select("key", F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), "n")
+
+
+@query(basket_sql("user_id", "k"))
+def user_baskets(spark, d):
+    return as_text(baskets.baskets(tags(spark, d), "user_id", "k"))
+
+
+@query(basket_sql("k", "user_id"))
+def item_baskets(spark, d):
+    return as_text(baskets.baskets(tags(spark, d), "k", "user_id"))
+
+
+def sets_sql(size, support, pairs=PAIRS):
+    names = [f"p{k}.item" for k in range(size)]
+    joins = " ".join(f"JOIN p p{k} ON p{k}.key = p0.key AND p{k}.item > p{k - 1}.item" for k in range(1, size))
+    text = " || ',' || ".join(f"CAST({n} AS VARCHAR)" for n in names)
+    return f"SELECT {size}::BIGINT AS size, {text} AS items, count(*) AS freq FROM p p0 {joins} GROUP BY {', '.join(names)} HAVING count(*) >= {support}"
+
+
+@query(f"WITH p AS ({PAIRS}) {sets_sql(1, 40)}")
+def frequent_singletons(spark, d):
+    return baskets.itemsets(baskets.frequent(event_pairs(spark, d), 40, 1))
+
+
+@query(f"WITH p AS ({PAIRS}) {sets_sql(1, 45)} UNION ALL {sets_sql(2, 45)}")
+def frequent_pairs(spark, d):
+    return baskets.itemsets(baskets.frequent(event_pairs(spark, d), 45, 2))
+
+
+@query(f"WITH p AS ({PAIRS}) {sets_sql(3, 30)}")
+def frequent_triples(spark, d):
+    return baskets.itemsets(baskets.frequent(event_pairs(spark, d), 30, 3)).where("size = 3")
+
+
+@query(f"WITH a AS ({PAIRS}), p AS (SELECT * FROM a WHERE key IN (SELECT key FROM a GROUP BY key HAVING count(*) > 45)) {sets_sql(2, 35)}")
+def filtered_frequent_pairs(spark, d):
+    return baskets.itemsets(baskets.frequent(baskets.larger(event_pairs(spark, d), 45), 35, 2)).where("size = 2")
+
+
+@query(f"WITH p AS ({PAIRS}) {sets_sql(1, 45)} UNION ALL {sets_sql(2, 45)} UNION ALL {sets_sql(3, 45)}")
+def frequent_fpgrowth(spark, d):
+    return baskets.fp_growth(baskets.baskets(tags(spark, d), "user_id", "k"), 45).where("size <= 3")
+
+
+# similarity and profiles
+
+JACCARD = "SELECT a, b, round(sim, 6) AS sim FROM (SELECT a, b, c::DOUBLE / (x.n + y.n - c) AS sim FROM c JOIN n x ON x.key = a JOIN n y ON y.key = b) WHERE sim >= 0.4"
+COMMON = f"""p AS ({PAIRS}), n AS (SELECT key, count(*) AS n FROM p GROUP BY key),
+c AS (SELECT x.key AS a, y.key AS b, count(*) AS c FROM p x JOIN p y USING (item) WHERE x.key < y.key GROUP BY ALL)"""
+
+
+@query(f"WITH {COMMON} {JACCARD}")
+def jaccard_pairs(spark, d):
+    return rounded(similarity.jaccard_join(event_pairs(spark, d), 0.4), "sim")
+
+
+@query(f"""WITH {COMMON}, h AS (SELECT key, a, b, min(((item * a + b) % {PRIME}) % 100) AS h FROM p, range(1, 350, 21) r(a), range(1, 20, 7) s(b) GROUP BY ALL),
+f AS (SELECT DISTINCT x.key AS a, y.key AS b FROM h x JOIN h y ON x.a = y.a AND x.b = y.b AND x.h = y.h AND x.key < y.key) {JACCARD.replace("FROM c JOIN", "FROM c SEMI JOIN f USING (a, b) JOIN")}""")
+def lsh_pairs(spark, d):
+    return rounded(similarity.lsh_join(event_pairs(spark, d), 0.4, 100, range(1, 350, 21), range(1, 20, 7)), "sim")
+
+
+TFIDF = f"""w AS ({WIDE_SQL}), tf AS (SELECT source AS key, word, count(*) AS tf FROM w WHERE word NOT IN ({STOPS}) GROUP BY ALL),
+df AS (SELECT word, sum(tf) AS n, count(*) AS df FROM tf GROUP BY word), m AS (SELECT key, max(tf) AS most FROM tf GROUP BY key),
+s AS (SELECT key, word, tf / most::DOUBLE * log2((SELECT count(DISTINCT source) FROM documents) / df::DOUBLE) AS score FROM tf JOIN df USING (word) JOIN m USING (key) WHERE n >= (SELECT sum(n) FROM df) * 1e-6),
+top AS (SELECT key, word, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(score, 9) DESC, word) AS r FROM s) WHERE r <= 50)"""
+
+
+def source_profiles(spark, d):
+    return similarity.tfidf(table(spark, d, "documents"), "source", "text", STOP, 50)
+
+
+@query(f"WITH {TFIDF} SELECT key, word, round(score, 6) AS score FROM top")
+def tfidf_top(spark, d):
+    return rounded(source_profiles(spark, d), "score")
+
+
+LANGS = "p AS (SELECT DISTINCT lang AS key, source AS item FROM documents), u AS (SELECT DISTINCT p.key, word FROM p JOIN top ON item = top.key)"
+
+
+@query(f"WITH {TFIDF}, {LANGS} SELECT key, word FROM u")
+def user_profile(spark, d):
+    return similarity.user_profiles(baskets.pairs(table(spark, d, "documents"), "lang", "source"), source_profiles(spark, d))
+
+
+@query(f"""WITH {TFIDF}, {LANGS}, c AS (SELECT u.key, top.key AS item, count(*) AS c FROM u JOIN top USING (word) GROUP BY ALL)
+SELECT key, item, round(c / (sqrt((SELECT count(*) FROM u v WHERE v.key = c.key)) * sqrt((SELECT count(*) FROM top t WHERE t.key = c.item))), 6) AS sim FROM c JOIN p USING (key, item)""")
+def content_score(spark, d):
+    profiles = source_profiles(spark, d).persist()
+    test = baskets.pairs(table(spark, d, "documents"), "lang", "source")
+    return rounded(similarity.content_score(test, similarity.user_profiles(test, profiles), profiles), "sim")
+
+
+# collaborative filtering
+
+def supplier_ratings(spark, d, item="l_suppkey"):
+    rows = table(spark, d, "lineitem").select("l_orderkey", item, "l_quantity").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return cf.ratings(rows, "o_custkey", item, "l_quantity")
+
+
+RATED = "SELECT o_custkey AS user, {} AS item, avg(l_quantity) AS stars FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"
+EVENTS = f"SELECT user_id AS user, k AS item, avg(value) AS stars FROM ({TAGS}) GROUP BY ALL"
+
+
+def pearson_sql(key, by):
+    return f"""SELECT a, b, round(c / (sx * sy), 6) AS sim FROM (SELECT x.{key} AS a, y.{key} AS b, count(*) AS n, covar_pop(x.stars, y.stars) AS c, stddev_pop(x.stars) AS sx, stddev_pop(y.stars) AS sy,
+min(x.stars) <> max(x.stars) AND min(y.stars) <> max(y.stars) AS good FROM r x JOIN r y USING ({by}) WHERE x.{key} < y.{key} GROUP BY x.{key}, y.{key}) WHERE n >= 3 AND good AND round(c / (sx * sy), 6) > 0"""
+
+
+@query("SELECT o_custkey AS user, l_partkey AS item, round(avg(l_quantity), 6) AS stars FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
+def dup_rating_mean(spark, d):
+    return rounded(supplier_ratings(spark, d, "l_partkey"), "stars")
+
+
+@query(f"WITH r AS ({RATED.format('l_suppkey')}) {pearson_sql('item', 'user')}")
+def item_pearson(spark, d):
+    return cf.pearson(supplier_ratings(spark, d).persist(), "item", "user")
+
+
+def event_ratings(spark, d):
+    return cf.ratings(tags(spark, d), "user_id", "k", "value")
+
+
+@query(f"WITH r AS ({EVENTS}) {pearson_sql('user', 'item')}")
+def user_pearson(spark, d):
+    return cf.pearson(event_ratings(spark, d).persist(), "user", "item")
+
+
+@query(f"""WITH r AS ({EVENTS}), m AS ({pearson_sql('item', 'user')}), w AS (SELECT a, b, sim FROM m UNION ALL SELECT b, a, sim FROM m),
+near AS (SELECT t.user, t.item, r.stars, sim, row_number() OVER (PARTITION BY t.user, t.item ORDER BY sim DESC, w.b) AS n FROM r t JOIN r ON r.user = t.user JOIN w ON w.a = t.item AND w.b = r.item)
+SELECT user, item, round(sum(sim * stars) / sum(abs(sim)), 6) AS stars FROM near WHERE n <= 5 GROUP BY ALL""")
+def predict_item(spark, d):
+    r = event_ratings(spark, d).persist()
+    return rounded(cf.predict_item(r.select("user", "item"), r, cf.pearson(r, "item", "user").persist()), "stars")
+
+
+@query(f"""WITH r AS ({EVENTS}), m AS ({pearson_sql('user', 'item')}), w AS (SELECT a, b, sim FROM m UNION ALL SELECT b, a, sim FROM m), mean AS (SELECT user_id AS user, avg(value) AS mean FROM ({TAGS}) GROUP BY ALL),
+near AS (SELECT t.user, t.item, sum(sim * (r.stars - o.mean)) / sum(abs(sim)) AS d FROM r t JOIN r ON r.item = t.item JOIN w ON w.a = t.user AND w.b = r.user JOIN mean o ON o.user = r.user GROUP BY ALL)
+SELECT user, item, round(mean + d, 6) AS stars FROM near JOIN mean USING (user)""")
+def predict_user(spark, d):
+    r = event_ratings(spark, d).persist()
+    raw = tags(spark, d).select(F.col("user_id").alias("user"), F.col("value").alias("stars"))
+    return rounded(cf.predict_user(r.select("user", "item"), r, raw, cf.pearson(r, "user", "item").persist()), "stars")
+
+
+# graph
+
+def event_graph(spark, d):
+    return graph.top_edges(graph.cooccurrence(event_pairs(spark, d), 20), 80).persist()
+
+
+GRAPH = f"{COMMON}, e AS (SELECT a AS u, b AS v, c AS n FROM c WHERE c >= 20 ORDER BY n DESC, u, v LIMIT 80), arcs AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e)"
+
+
+@query(f"WITH {COMMON} SELECT a AS u, b AS v, c AS n FROM c WHERE c >= 36")
+def cooccur_edges(spark, d):
+    return graph.cooccurrence(event_pairs(spark, d), 36)
+
+
+def _rounds():
+    sql = "l0 AS (SELECT DISTINCT u AS id, u AS label FROM arcs)"
+    for k in range(1, 6):
+        sql += f", l{k} AS (SELECT id, label FROM (SELECT v AS id, label, row_number() OVER (PARTITION BY v ORDER BY count(*) DESC, label) AS r FROM arcs JOIN l{k - 1} ON id = u GROUP BY v, label) WHERE r = 1)"
+    return sql
+
+
+@query(f"WITH {GRAPH}, {_rounds()} SELECT id, label FROM l5")
+def label_propagation(spark, d):
+    return graph.label_propagation(event_graph(spark, d))
+
+
+COMPONENTS = f"WITH RECURSIVE {GRAPH}, reach(id, to_) AS (SELECT DISTINCT u, u FROM arcs UNION SELECT id, v FROM reach JOIN arcs ON u = to_), cc AS (SELECT id, min(to_) AS component FROM reach GROUP BY id)"
+
+
+@query(f"{COMPONENTS} SELECT id, component FROM cc")
+def components(spark, d):
+    return graph.connected_components(event_graph(spark, d))
+
+
+def _levels():
+    """Breadth-first levels from all vertices, level after level: (s, t, d, paths)."""
+    sql = "b0 AS (SELECT DISTINCT u AS s, u AS t, 0 AS d, 1::DOUBLE AS paths FROM arcs)"
+    for k in range(1, 17):
+        sql += f""", b{k} AS MATERIALIZED (SELECT * FROM b{k - 1} UNION ALL SELECT s, v, {k}, sum(paths) FROM b{k - 1} b JOIN arcs ON u = t
+WHERE d = {k - 1} AND NOT EXISTS (SELECT 1 FROM b{k - 1} o WHERE o.s = b.s AND o.t = v) GROUP BY s, v)"""
+    return sql
+
+
+@query(f"""WITH {GRAPH}, {_levels()} SELECT e.u, e.v, round(sum(x.paths * y.paths / st.paths) / 2, 6) AS value FROM b16 st JOIN e ON st.s <> st.t
+JOIN arcs ON (arcs.u = e.u AND arcs.v = e.v) OR (arcs.u = e.v AND arcs.v = e.u) JOIN b16 x ON x.s = st.s AND x.t = arcs.u JOIN b16 y ON y.s = arcs.v AND y.t = st.t
+WHERE x.d + 1 + y.d = st.d GROUP BY e.u, e.v""")
+def edge_betweenness(spark, d):
+    return rounded(graph.edge_betweenness(event_graph(spark, d)), "value")
+
+
+@query(f"""{COMPONENTS}, k AS (SELECT u AS id, count(*) AS k FROM arcs GROUP BY u),
+lost AS (SELECT sum((s * s - q) / 2) AS lost FROM (SELECT component, sum(k) AS s, sum(k * k) AS q FROM k JOIN cc USING (id) GROUP BY component))
+SELECT round((count(*) - (SELECT lost FROM lost) / (2 * count(*))) / count(*), 6) AS q FROM e""")
+def modularity(spark, d):
+    e = event_graph(spark, d)
+    return graph.modularity(e, graph.connected_components(e).select("id", F.col("component").alias("label")))
+
+
+@query()
+def girvan_newman(spark, d):
+    return graph.girvan_newman(event_graph(spark, d))
+
+
+# clustering
+
+def points(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("long").alias("cluster"))
+
+
+VECS = "SELECT vec_id AS id, embedding::DOUBLE[] AS vec, label::BIGINT AS cluster FROM embeddings"
+DIMS = "dims AS (SELECT id, cluster, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM p)"
+
+
+@query(f"WITH p AS ({VECS}), c AS (SELECT vec FROM p ORDER BY id LIMIT 1) SELECT p.id, round(list_distance(p.vec, c.vec), 6) AS dist FROM p, c")
+def vector_distance(spark, d):
+    p = points(spark, d)
+    first = p.orderBy("id").limit(1).select(F.col("vec").alias("c"))
+    return p.join(F.broadcast(first), F.lit(True)).select("id", F.round(euclidean(F.col("vec"), F.col("c")), 6).alias("dist"))
+
+
+def _kmeans():
+    sql = "c0 AS (SELECT id AS cluster, vec AS centre FROM p ORDER BY id LIMIT 8)"
+    for k in range(4):
+        sql += f", a{k} AS (SELECT id, vec, cluster FROM (SELECT p.id, p.vec, c.cluster, row_number() OVER (PARTITION BY p.id ORDER BY round(list_distance(p.vec, c.centre), 9), c.cluster) AS r FROM p, c{k} c) WHERE r = 1)"
+        sql += f", c{k + 1} AS (SELECT cluster, list(m ORDER BY d) AS centre FROM (SELECT cluster, d, avg(x) AS m FROM (SELECT cluster, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM a{k}) GROUP BY ALL) GROUP BY cluster)"
+    return sql
+
+
+@query(f"WITH p AS ({VECS}), {_kmeans()} SELECT id, cluster FROM a3")
+def kmeans_fixed_seed(spark, d):
+    p = points(spark, d).select("id", "vec").persist()
+    return clustering.kmeans(p, p.orderBy("id").limit(8).select(F.col("id").alias("cluster"), F.col("vec").alias("centre")), 3)
+
+
+@query(f"WITH p AS ({VECS}), {DIMS} SELECT cluster, d - 1 AS d, count(*) AS n, round(sum(x), 6) AS total, round(sum(x * x), 6) AS squares FROM dims GROUP BY cluster, d")
+def cluster_stats(spark, d):
+    s = clustering.statistics(points(spark, d))
+    return rounded(s.select("cluster", "n", F.posexplode(F.arrays_zip("total", "squares")).alias("d", "z")).select("cluster", F.col("d").cast("long").alias("d"), "n", "z.total", "z.squares"), "total", "squares")
+
+
+@query(f"""WITH p AS ({VECS}), {DIMS}, s AS (SELECT cluster, d, avg(x) AS m, greatest(sum(x * x) / count(*) - (sum(x) / count(*)) * (sum(x) / count(*)), 0) AS v FROM dims GROUP BY cluster, d),
+q AS (SELECT dims.id, s.cluster, round(sqrt(sum(CASE WHEN v > 0 THEN (x - m) * (x - m) / v ELSE 0 END)), 6) AS dist FROM dims JOIN s USING (d) GROUP BY ALL),
+b AS (SELECT id, cluster, dist, row_number() OVER (PARTITION BY id ORDER BY dist, cluster) AS r FROM q)
+SELECT id, CASE WHEN dist < 8 THEN cluster END AS cluster, round(CASE WHEN dist < 8 THEN dist END, 4) AS dist FROM b WHERE r = 1""")
+def mahalanobis_assign(spark, d):
+    p = points(spark, d)
+    found = clustering.mahalanobis_assign(p.select("id", "vec"), clustering.statistics(p), 8.0)
+    return found.select("id", "cluster", F.round("dist", 4).alias("dist"))
+
+
+@query()
+def bfr_rounds(spark, d):
+    p = points(spark, d).select("id", "vec", (F.col("id") % 4).alias("chunk")).persist()
+    return clustering.bfr(p, "chunk", 5)[1]
+
+
+# sketches
+
+def bytes_sql(text):
+    n = f"[((strpos('0123456789ABCDEF', substr(hex(encode({text})), 2 * i - 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(hex(encode({text})), 2 * i, 1)) - 1)::BIGINT for i in range(1, length(hex(encode({text}))) // 2 + 1)]"
+    return f"list_reduce(list_concat([0::BIGINT], {n}), lambda a, x: (a * 256 + x) % {PRIME})"
+
+
+FAMILY = "(SELECT a, b, row_number() OVER (ORDER BY a, b) AS i FROM range(1, 100, 7) r(a), range(1, 20, 7) s(b))"
+
+
+@query(f"""WITH v AS (SELECT DISTINCT n_name AS s FROM nation WHERE n_name <> ''), k AS (SELECT greatest(1, least(45, floor(3000 / count(*) * ln(2)))) AS k FROM v), f AS {FAMILY},
+bits AS (SELECT DISTINCT (({bytes_sql('s')} * a + b) % {PRIME}) % 3000 AS h FROM v, f, k WHERE i <= k),
+probes AS (SELECT n_name AS s FROM nation UNION SELECT r_name FROM region UNION SELECT DISTINCT c_mktsegment FROM customer),
+own AS (SELECT s, (({bytes_sql('s')} * a + b) % {PRIME}) % 3000 AS h FROM probes, f, k WHERE i <= k)
+SELECT s, min(CASE WHEN h IN (SELECT h FROM bits) THEN 1 ELSE 0 END)::INTEGER AS hit FROM own GROUP BY s""")
+def bloom_probe(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_name").alias("s"))
+    probes = n.union(table(spark, d, "region").select("r_name")).union(table(spark, d, "customer").select("c_mktsegment")).distinct()
+    return sketches.bloom_probe(probes, "s", sketches.bloom_build(n, "s"))
+
+
+FM = f"(SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS i FROM range(1, 80, 2) r(a), range(1, 20, 7) s(b))"
+
+
+def fm_sql(rows, keys=""):
+    k = f"{keys}, " if keys else ""
+    x = f"(({bytes_sql('s')} * a + b) % {PRIME}) % 3477"
+    return f"""WITH rows_ AS ({rows}), h AS (SELECT {k}i, {x} AS h FROM rows_, {FM}), r AS (SELECT {k}i, max(CASE WHEN h = 0 THEN 1 ELSE bit_count((h & -h) - 1) END) AS r FROM h GROUP BY ALL),
+g AS (SELECT {k}i // 6 AS g, avg(pow(2.0::DOUBLE, r)) AS m FROM r GROUP BY ALL) SELECT {k}round(median(m), 6) AS estimate FROM g {"GROUP BY " + keys if keys else ""}"""
+
+
+@query(fm_sql("SELECT DISTINCT p_name AS s FROM part"))
+def fm_estimate(spark, d):
+    return rounded(sketches.fm_estimate(table(spark, d, "part"), "p_name"), "estimate")
+
+
+# windows and streams
+
+STARTS = "(SELECT user_id, time_bucket(INTERVAL 10 minutes, ts) - to_minutes(10 * g) AS start FROM events, range(3) r(g))"
+
+
+@query(f"SELECT start, count(DISTINCT user_id) AS n FROM {STARTS} GROUP BY start")
+def sliding_distinct(spark, d):
+    return streaming.sliding_distinct(table(spark, d, "events"), "user_id").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(fm_sql(f"SELECT DISTINCT start, event_type AS s FROM (SELECT event_type, time_bucket(INTERVAL 6 hours, ts) - to_hours(6 * g) AS start FROM events, range(2) r(g))", "start"))
+def fm_sliding(spark, d):
+    rows = streaming.windowed(table(spark, d, "events"), "ts", "12 hours", "6 hours")
+    return rounded(sketches.fm_estimate(rows, "event_type", 20, 3477, "start"), "estimate").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def event_stream(spark, d):
+    from affinis import sources
+
+    return sources.file_stream(spark, d, table(spark, d, "events").schema, "events.parquet")
+
+
+@query()
+def stream_sliding_approx(spark, d):
+    return streaming.run_to_end(streaming.stream_distinct(event_stream(spark, d), "user_id", False), "stream_sliding_approx")
+
+
+@query(f"SELECT start, count(DISTINCT user_id) AS n FROM {STARTS} GROUP BY start")
+def stream_equals_batch(spark, d):
+    out = streaming.run_to_end(streaming.stream_distinct(event_stream(spark, d), "user_id", True), "stream_equals_batch")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -22,22 +22,29 @@ def means(assigned: DataFrame) -> DataFrame:
     return dims.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("centre"))
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A table with a row for each cluster, through the driver: its lineage ends here."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def kmeans(points: DataFrame, centres: DataFrame, rounds: int) -> DataFrame:
     """(id, cluster) after so many Lloyd rounds from the given centres; a centre without points goes."""
     for _ in range(rounds):
-        centres = means(assign(points, centres)).persist()
+        centres = small(means(assign(points, centres)))
     return assign(points, centres).select("id", "cluster")
 
 
 def farthest_first(points: DataFrame, k: int) -> DataFrame:
     """(cluster, centre): k seeds; the point of least id, then again and again the point farthest from all seeds, ties to the least id."""
+    spark, schema = points.sparkSession, "cluster long, centre array<double>"
     first = points.orderBy("id").first()
-    seeds = [first.vec]
-    apart = points.withColumn("gap", F.lit(math.inf))
-    while first is not None and len(seeds) < k:
-        apart = apart.withColumn("gap", F.least("gap", euclidean(F.col("vec"), F.array(*map(F.lit, seeds[-1]))))).persist()
-        seeds.append(apart.orderBy(F.desc("gap"), "id").first().vec)
-    return points.sparkSession.createDataFrame(list(enumerate(seeds)), "cluster long, centre array<double>")
+    seeds = [first.vec] if first else []
+    while first and len(seeds) < k:
+        far = assign(points, spark.createDataFrame(list(enumerate(seeds)), schema)).orderBy(F.desc("dist"), "id").first()
+        if far.dist == 0:
+            break
+        seeds.append(far.vec)
+    return spark.createDataFrame(list(enumerate(seeds)), schema)
 
 
 def statistics(assigned: DataFrame) -> DataFrame:
@@ -67,7 +74,7 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
 def bfr(points: DataFrame, chunk: str, k: int, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
     """((id, cluster), round report) of BFR over the chunks in their order.
 
-    The first chunk is clustered into 3 k groups: the k largest with over one point are the discard sets, others with over one
+    The first chunk is clustered into 3 k groups: the k largest are the discard sets, others with over one
     point compression sets, single points are retained. A later chunk's points go to the nearest discard set below 2 sqrt(d), else to
     the nearest compression set below 3 sqrt(d), else are retained; retained points are clustered again, statistics follow every round, and
     compression sets within 2 sqrt(d) of another are merged into it. In the end all compression sets and retained points go
@@ -78,13 +85,13 @@ def bfr(points: DataFrame, chunk: str, k: int, rounds: int = 5) -> tuple[DataFra
     dims = len(points.first().vec)
     limit = math.sqrt(dims)
     first = points.where(F.col(chunk) == F.lit(chunks[0])).select("id", "vec")
-    groups = kmeans(first, farthest_first(first, 3 * k), rounds)
+    groups = kmeans(first, farthest_first(first, 3 * k), rounds).persist()
     sized = groups.groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster").collect()
     ds = {r.cluster: j for j, r in enumerate(sized[:k])}
     cs = {r.cluster: 10_000 + j for j, r in enumerate(r for r in sized[k:] if r.n > 1)}
     lookup = spark.createDataFrame([(int(a), int(b)) for a, b in {**ds, **cs}.items()], "old long, cluster long")
     own = first.join(groups.withColumnRenamed("cluster", "old"), "id").join(F.broadcast(lookup), "old", "left").select("id", "vec", "cluster").persist()
-    stats = statistics(own.where("cluster IS NOT NULL")).persist()
+    stats = small(statistics(own.where("cluster IS NOT NULL")))
     placed, retained, report = own, own.where("cluster IS NULL").select("id", "vec"), []
 
     def note(number):
@@ -98,7 +105,7 @@ def bfr(points: DataFrame, chunk: str, k: int, rounds: int = 5) -> tuple[DataFra
         loose = near.where("cluster IS NULL").select("id", "vec")
         more = mahalanobis_assign(loose, stats.where("cluster >= 10000"), 3 * limit).drop("dist").persist() if cs else loose.withColumn("cluster", F.lit(None).cast("long"))
         taken = near.where("cluster IS NOT NULL").unionByName(more.where("cluster IS NOT NULL")).persist()
-        stats = merged(stats, statistics(taken)).persist()
+        stats = small(merged(stats, statistics(taken)))
         retained = retained.unionByName(more.where("cluster IS NULL").select("id", "vec")).persist()
         placed = placed.where("cluster IS NOT NULL").unionByName(taken).unionByName(retained.withColumn("cluster", F.lit(None).cast("long"))).persist()
         note(number)

@@ -5,7 +5,8 @@ shards of its OVERLAP nearest centres and of all within MARGIN of the nearest, a
 kept only if no kept one is closer to it by the factor ALPHA. Adjacency lists of a vertex from all its shards are united, both
 ways. Every vector then searches its shards: a greedy beam search from
 the medoids of the shard and of its stretches over the united lists, and from every hit on a range expansion: neighbours of hits, until none is new.
-What it meets is verified in double precision; each pair counts in the shard nearest to the vector found, so once.
+What it meets is verified in double precision; a pair counts in the first shard that holds both, so once. Two vectors whose
+shards have none in common are not compared: both are in two shards at least, and in all within MARGIN of their nearest.
 
 Each shard audits a sample of its vectors against brute force; where a link was missed, its search is repeated with a beam as
 wide as need be. A shard above BLOCK vectors is dealt over blocks with a graph of their own, which every query of the shard
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from affinis.llm.common import components, cut, table
 
-SHARD, BLOCK, OVERLAP, MARGIN, SAMPLE, CENTRES = 4096, 12_000, 2, 0.2, 20_000, 4096
+SHARD, BLOCK, OVERLAP, MARGIN, SAMPLE, CENTRES = 4096, 12_000, 2, 0.06, 20_000, 4096
 DEGREE, CANDIDATES, ALPHA, BEAM, AUDIT, ENTRIES = 24, 48, 1.2, 32, 64, 96
 
 
@@ -174,6 +175,24 @@ def search(q: np.ndarray, x: np.ndarray, offsets, targets, start: np.ndarray, th
     return key // n, key % n
 
 
+def apart(lower_a: np.ndarray, lower_b: np.ndarray) -> np.ndarray:
+    """True where two rows of padded shard numbers (paddings of a and b differ) have none in common."""
+    none = np.ones(len(lower_a), dtype=bool)
+    for i in range(lower_a.shape[1]):
+        for j in range(lower_b.shape[1]):
+            none &= lower_a[:, i] != lower_b[:, j]
+    return none
+
+
+def lower_shards(column, pad: int) -> np.ndarray:
+    """A list column of shard numbers, padded to a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.full((len(n), int(n.max(initial=0))), pad, dtype=np.int64)
+    out[np.arange(out.shape[1]) < n[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
 def links(classes: DataFrame, c: np.ndarray, threshold: float) -> DataFrame:
     """(k, n, low): for each class the number of vectors of other classes at or above threshold, found in each shard, and the least."""
 
@@ -187,14 +206,19 @@ def links(classes: DataFrame, c: np.ndarray, threshold: float) -> DataFrame:
             asks = s >= s.max(axis=1, keepdims=True) - MARGIN
             asks[np.arange(len(s))[:, None], order[:, : min(OVERLAP, len(c))]] = True
             row, shard = np.nonzero(asks)
-            home = shard == order[row, 0]
+            # the vector's shards of lower number
+            count = asks.sum(axis=1)
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            edge = np.append(0, np.cumsum(rank))
+            base = np.repeat(np.arange(len(row)) - rank - edge[:-1], rank)
+            lower = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(shard[base + np.arange(edge[-1])], pa.int64()))
             t = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.astype(np.int64)), b.column(0).take(t), b.column(1).take(t), b.column(2).take(t), pa.array(home)],
-                names=["shard", "k", "weight", "v", "home"],
+                [pa.array(shard.astype(np.int64)), b.column(0).take(t), b.column(1).take(t), b.column(2).take(t), lower],
+                names=["shard", "k", "weight", "v", "lower"],
             )
 
-    kinds = "shard long, k long, weight long, v array<double>, home boolean"
+    kinds = "shard long, k long, weight long, v array<double>, lower array<long>"
     dealt = cut(classes.select("k", "weight", "v").mapInArrow(assign, kinds))
     # a row for each shard
     sizes = {r.shard: r.n for r in dealt.groupBy("shard").agg(F.count("*").alias("n")).collect()}
@@ -202,15 +226,15 @@ def links(classes: DataFrame, c: np.ndarray, threshold: float) -> DataFrame:
     parts = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for s, n in blocks.items() for x in (s, n))), F.col("shard")), F.lit(1)) if blocks else F.lit(1)
     own = F.pmod(F.xxhash64("k"), parts)
     inside = dealt.withColumns({"block": own, "inside": F.lit(True), "ask": F.lit(False)})
-    asking = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumns({"inside": F.lit(False), "ask": F.lit(True), "home": F.lit(False)})
+    asking = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumns({"inside": F.lit(False), "ask": F.lit(True)})
     both = inside.unionByName(asking)
 
     def run(rows):
-        k, weight, home, member, asking = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("k", "weight", "home", "inside", "ask"))
-        v = stacked(rows.column("v"))
+        k, weight, member, asking = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("k", "weight", "inside", "ask"))
+        v, lower = stacked(rows.column("v")), rows.column("lower")
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        x, xk, xw, xh = v[member], k[member], weight[member], home[member]
-        q, qk = v[asking], k[asking]
+        x, xk, xw, xl = v[member], k[member], weight[member], lower_shards(lower, -1)[member]
+        q, qk, ql = v[asking], k[asking], lower_shards(lower, -2)[asking]
         if not len(x) or not len(q):
             return pa.table({"k": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "low": pa.array([], pa.int64())})
         offsets, targets = united([graph(x)], len(x))
@@ -239,7 +263,7 @@ def links(classes: DataFrame, c: np.ndarray, threshold: float) -> DataFrame:
         for at in range(0, len(q), step):
             who, to = ask(np.arange(at, min(len(q), at + step)), threshold - 1e-9, beam)
             # verified: the cosine itself
-            good = (np.einsum("ij,ij->i", q[at + who], x[to]) >= threshold) & xh[to] & (qk[at + who] != xk[to])
+            good = (np.einsum("ij,ij->i", q[at + who], x[to]) >= threshold) & (qk[at + who] != xk[to]) & apart(ql[at + who], xl[to])
             who, to = who[good], to[good]
             n = np.bincount(who, weights=xw[to], minlength=0).astype(np.int64)
             low = np.full(len(n), np.iinfo(np.int64).max)

@@ -65,9 +65,9 @@ class Grams:
 
 
 def runs(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, content hash, first window, last window) of each run of windows with one anchor."""
+    """(anchor hash, content hash, first window, last window, anchor's place) of each run of windows with one anchor."""
     if len(data) < window:
-        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 2
+        return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
     g = Grams(data, window)
     each = g.at(np.arange(len(data) - gram + 1), gram)
     place = (mixed(each) & HIGH) | np.arange(len(each), dtype=np.uint64)
@@ -84,7 +84,7 @@ def runs(data: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.n
     inside = (at - first).astype(np.uint64) * ODD[3] + (last - first).astype(np.uint64)
     # a run has at most window - gram + 1 windows: its first and last window hold all its bytes
     content = mixed(mixed(g.at(first, window)) * ODD[2] + g.at(last, window) + inside)
-    return mixed(each[at]), content, first, last
+    return mixed(each[at]), content, first, last, at
 
 
 def as_bytes(text: str | None) -> np.ndarray:
@@ -92,7 +92,8 @@ def as_bytes(text: str | None) -> np.ndarray:
 
 
 def all_runs(docs: DataFrame, window: int) -> DataFrame:
-    """(anchor, content, doc, th, first, n): every run of every document; doc and th together name its text."""
+    """(anchor, content, doc, th, first, shape): every run of every document; doc and th together name its text, shape holds
+    the number of windows and, from bit 16 on, how far the anchor is from the first window's start."""
 
     def run(batches):
         for b in slices(batches):
@@ -100,15 +101,15 @@ def all_runs(docs: DataFrame, window: int) -> DataFrame:
             for t in b.column(2).to_pylist():
                 found.append(runs(as_bytes(t), window))
                 lengths.append(len(found[-1][0]))
-            a, c, first, last = (np.concatenate(x) for x in zip(*found, strict=True)) if found else runs(as_bytes(None))
+            a, c, first, last, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else runs(as_bytes(None))
             doc = b.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
             th = b.column(1).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), doc, th, pa.array(first.astype(np.int32)), pa.array((last - first + 1).astype(np.int32))],
-                names=["anchor", "content", "doc", "th", "first", "n"],
+                [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), doc, th, pa.array(first.astype(np.int32)), pa.array(((last - first + 1) | (at - first) << 16).astype(np.int32))],
+                names=["anchor", "content", "doc", "th", "first", "shape"],
             )
 
-    return docs.select("doc", "th", "text").mapInArrow(run, "anchor long, content long, doc long, th long, first int, n int")
+    return docs.select("doc", "th", "text").mapInArrow(run, "anchor long, content long, doc long, th long, first int, shape int")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
@@ -190,45 +191,40 @@ def shared_windows(reps: DataFrame, window: int) -> DataFrame:
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc, th, first, n): runs of windows that occur again; docs has doc, th and text."""
     every = all_runs(docs, window)
-    twice = every.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1").select("anchor")
+    # written, so that the join below shuffles both sides on their own and a hot anchor's runs can be split
+    twice = cut(every.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1").select("anchor"))
     marked = cut(every.join(twice, "anchor"))
     released(docs.sparkSession)
-    name = F.struct("doc", "th", "first", "n")
-    contents = marked.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(name).alias("rep"))
-    members = contents.groupBy("anchor").agg(F.count("*").alias("members"))
-    contents = cut(contents.join(members, "anchor"))
+    name = F.struct("doc", "th", "first", "shape")
+    contents = cut(marked.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(name).alias("rep")))
+    members = cut(contents.groupBy("anchor").agg(F.count("*").alias("members")).where("members > 1"))
     released(docs.sparkSession)
+    windows = F.col("shape").bitwiseAND(0xFFFF).alias("n")
     # every copy of a content that occurs twice
-    whole = marked.join(contents.where("times > 1").select("anchor", "content"), ["anchor", "content"]).select("doc", "th", "first", "n")
-    reps = contents.where("members > 1").select("anchor", "content", "members", "rep.*", (F.col("times") > 1).alias("known"))
-    by_text = reps.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "first", "n", "members")).alias("runs"))
+    whole = marked.join(contents.where("times > 1").select("anchor", "content"), ["anchor", "content"]).select("doc", "th", "first", windows)
+    reps = contents.select("anchor", "rep.*").join(members, "anchor")
+    by_text = reps.groupBy("doc", "th").agg(F.collect_list(F.struct("anchor", "first", "shape", "members")).alias("runs"))
 
     def cut_out(batches):
         for b in slices(batches):
-            rows = []
-            for doc, th, z, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = unpacked(z)
-                for r in own:
-                    part = data[r["first"] : r["first"] + r["n"] + window - 1]
-                    rows.append((r["anchor"], doc, th, r["first"], anchor_place(part, r["n"], window), part, r["members"]))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "doc", "th", "first", "before", "bytes", "members"])
+            own = b.column(3).flatten()
+            anchor, first, shape, members = (own.field(k) for k in range(4))
+            owner = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
+            start, shape = first.to_numpy().astype(np.int64), shape.to_numpy()
+            end = start + (shape & 0xFFFF) + window - 1
+            texts = [unpacked(z) for z in b.column(2).to_pylist()]
+            part = [texts[t][i:j] for t, i, j in zip(owner.tolist(), start.tolist(), end.tolist(), strict=True)]
+            who = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [anchor, b.column(0).take(who), b.column(1).take(who), first, pa.array((shape >> 16).astype(np.int32)), pa.array(part, pa.binary()), members],
+                names=["anchor", "doc", "th", "first", "before", "bytes", "members"],
+            )
 
     texts = packed_texts(docs).join(by_text, ["doc", "th"]).dropDuplicates(["doc", "th"])
     pieces = texts.select("doc", "th", "z", "runs").mapInArrow(cut_out, "anchor long, doc long, th long, first int, before int, bytes binary, members long")
     return whole.unionByName(shared_windows(pieces, window).select("doc", "th", F.col("s").alias("first"), F.lit(1).alias("n")))
 
 
-def anchor_place(part: bytes, n: int, window: int) -> int:
-    """Where the anchor of a run's windows stands in the run's bytes."""
-    data = np.frombuffer(part, dtype=np.uint8)
-    low = n - 1  # all windows of the run hold the bytes from the last window's start to the first one's end
-    each = Grams(data[low:window], GRAM).at(np.arange(window - low - GRAM + 1), GRAM)
-    place = (mixed(each) & HIGH) | np.arange(len(each), dtype=np.uint64)
-    return low + int(np.argmin(place))
-
-
 def named(docs: DataFrame) -> DataFrame:
     """docs with doc and th, which together name a text."""
     return docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))).withColumn("th", F.xxhash64("text"))
@@ -238,7 +234,7 @@ def kept_parts(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> Da
     """Every document's (doc_id, n_bytes, n_removed, n_spans, kept_sha256), or with texts all columns of docs and `kept`."""
     rows = named(docs)
     found = repeats(rows.select("doc", "th", "text"), window)
-    spans = found.groupBy("doc", "th").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    spans = found.groupBy("doc", "th").agg(F.collect_list(F.struct("first", "n")).alias("spans")).select("doc", "th", F.col("spans.first").alias("starts"), F.col("spans.n").alias("lengths"))
     extra = [c for c in docs.columns if c not in ("doc_id", "text")] if texts else []
     own = docs.schema
 
@@ -254,23 +250,23 @@ def kept_parts(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> Da
     def finish(batches):
         for b in slices(batches):
             out = []
-            for z, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            every_start, every_length = (b.column(k).flatten().to_numpy().astype(np.int64) for k in (1, 2))
+            to = np.cumsum(b.column(1).value_lengths().fill_null(0).to_numpy())
+            for z, at, end in zip(b.column(0).to_pylist(), np.append(0, to[:-1]).tolist(), to.tolist(), strict=True):
                 data = unpacked(z)
                 n, gone, pieces, kept = len(data), 0, 0, data
-                if spans:
-                    edge = np.zeros(n + 1, dtype=np.int64)
-                    first = np.array([s["first"] for s in spans])
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + np.array([s["n"] for s in spans]) + window - 1, -1)
+                if end > at:
+                    first = every_start[at:end]
+                    edge = np.bincount(first, minlength=n + 1) - np.bincount(first + every_length[at:end] + window - 1, minlength=n + 1)
                     cover = np.cumsum(edge[:-1]) > 0
                     gone, pieces = int(cover.sum()), int((np.diff(cover.astype(np.int8), prepend=0) == 1).sum())
                     kept = np.frombuffer(data, dtype=np.uint8)[~cover].tobytes()
                 out.append((kept.decode(errors="ignore") if texts else None, n, gone, pieces, None if texts else hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out, strict=True)) or [()] * 5
             made = [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], *made], names=[*b.schema.names[2:], "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*b.columns[3:], *made], names=[*b.schema.names[3:], "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = small.join(spans, ["doc", "th"], "left").select("z", "spans", "doc_id", *extra)
+    joined = small.join(spans, ["doc", "th"], "left").select("z", "starts", "lengths", "doc_id", *extra)
     return joined.mapInArrow(finish, f"{kinds[2:]}, kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

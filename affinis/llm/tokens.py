@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-PIECES, WORDS = 120_000, 90_000  # entries of a generation; when full, the one before goes and what is asked for again stays
+PIECES, WORDS = 400_000, 200_000  # entries of a generation; when full, the one before goes and what is asked for again stays
 SPACE = re.compile(r" (?=[!-~À-ɏ])")
 LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r"[!-/:-@\[-`{-~]*"
 # a word or number with signs after it, perhaps over a line's end: how pre-tokenization parts it is plain

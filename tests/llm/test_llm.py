@@ -231,7 +231,9 @@ def cloud(spark):
     return x, spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>")
 
 
-def test_embedding_links_are_complete(cloud):
+@pytest.mark.parametrize("shard", [4096, 60])
+def test_embedding_links_are_complete(monkeypatch, cloud, shard):
+    monkeypatch.setattr(embeddings, "SHARD", shard)
     x, rows = cloud
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= 0.95

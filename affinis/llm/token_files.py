@@ -6,7 +6,7 @@ Every id is replaced with its frequency rank (0: most frequent; ties to the smal
 end first, in data; control has 2 bits a rank (bytes minus one), four ranks a byte, first rank in the lowest bits. The table
 of ids by rank has one entry for each id of the vocabulary at most and lies beside it in a Parquet folder of its own.
 
-Null texts count as empty; every document gets the end id. Equal doc_ids keep one row each, in order of their codes.
+Null texts count as empty; every document gets the end id. Equal doc_ids keep one row each, in order of a hash of their ids.
 No documents give an empty folder.
 """
 
@@ -16,43 +16,91 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.llm.common import partitions, removed, shared_dir, slices, table, written
 from affinis.llm.tokens import default_path, encoder
 
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int64) + 1  # bytes of the four ranks of a control byte
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int8) + 1  # bytes of the four ranks of a control byte
+PORTION = 2 << 20  # bytes of ids or codes handled at a time; a longer document is one portion
 
 
-def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of an array of ranks below 2**32."""
-    ranks = np.ascontiguousarray(ranks, dtype="<u4")
-    size = np.ones(len(ranks), dtype=np.int64)
+def portions(batches, column: int, most: int = PORTION):
+    """The same Arrow rows in batches with about `most` bytes in the binary column given, one row at least."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
+def joined(column) -> np.ndarray:
+    """All bytes of a binary column, row after row."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
+
+
+def parted(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A binary column whose rows end at `ends` in values."""
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For documents of so many ranks, one after another: each rank's place among the 2-bit lengths, and where each document's
+    control bytes end. A document's first rank opens a byte."""
+    ends = np.cumsum(-(-lengths // 4))
+    first = 4 * np.append(0, ends[:-1]) if len(ends) else ends
+    return np.arange(lengths.sum()) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths), ends
+
+
+def encode_all(ranks: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(control, data, control ends, data ends) of documents with so many ranks each, one after another; ranks are below 2**32."""
+    ranks = np.ascontiguousarray(ranks, dtype=np.uint32)
+    size = np.ones(len(ranks), dtype=np.int8)
     for bits in (8, 16, 24):
         size += ranks >= (1 << bits)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    codes[: len(ranks)] = size - 1
-    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], dtype=np.uint8)).sum(axis=1, dtype=np.uint8)
-    used = np.arange(4) < size[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    at, control_ends = places(lengths)
+    codes = np.zeros((control_ends[-1] if len(control_ends) else 0, 4), dtype=np.uint8)
+    codes.reshape(-1)[at] = size - 1
+    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    ends = np.append(0, np.cumsum(size, dtype=np.int64))
+    data = np.empty(ends[-1], dtype=np.uint8)
+    for k in range(4):
+        some = np.flatnonzero(size > k)
+        if not len(some):
+            break
+        data[ends[some] + k] = ranks[some] >> np.uint32(8 * k) & np.uint32(255)
+    return control, data, control_ends, ends[np.cumsum(lengths)]
 
 
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n ranks; lengths come from a table looked up by control byte."""
-    size = LENGTHS[np.frombuffer(control, dtype=np.uint8)].reshape(-1)[:n]
-    raw = np.zeros(len(data) + 4, dtype=np.uint8)
-    raw[: len(data)] = np.frombuffer(data, dtype=np.uint8)
-    at = np.cumsum(size) - size
-    ranks = raw[at].astype(np.uint32)
+def decode_all(control: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All ranks of documents with so many ranks each; byte lengths come from a table looked up by control byte."""
+    size = LENGTHS[control].reshape(-1)[places(lengths)[0]]
+    at = np.cumsum(size, dtype=np.int64) - size
+    ranks = data[at].astype(np.uint32)
     for k in (1, 2, 3):
-        more = size > k
-        if not more.any():
+        more = np.flatnonzero(size > k)
+        if not len(more):
             break
-        ranks[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+        ranks[more] |= data[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return ranks
 
 
+def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """(control, data) of one document's ranks."""
+    control, data, _, _ = encode_all(ranks, np.array([len(ranks)]))
+    return control.tobytes(), data.tobytes()
+
+
+def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
+    """One document's n ranks."""
+    return decode_all(np.frombuffer(control, dtype=np.uint8), np.frombuffer(data, dtype=np.uint8), np.array([n]))
+
+
 def tokenize(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
     """(doc_id, ids binary): the ids of whole texts, two bytes each where the vocabulary allows, with end_id after them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -72,9 +120,8 @@ def frequencies(tokens: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         total = np.zeros(0, dtype=np.int64)
-        for b in batches:
-            raw = b"".join(b.column(0).to_pylist())
-            n = np.bincount(np.frombuffer(raw, dtype=f"<u{width}"))
+        for b in portions(batches, 0):
+            n = np.bincount(joined(b.column(0)).view(f"<u{width}"))
             total = np.pad(total, (0, max(0, len(n) - len(total))))
             total[: len(n)] += n
         ids = np.flatnonzero(total)
@@ -95,33 +142,28 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def encode(batches):
-        for b in slices(batches):
-            codes = [(len(i) // width, *encode_ranks(rank_of[np.frombuffer(i, dtype=f"<u{width}")])) for i in b.column(1).to_pylist()]
-            n, control, data = zip(*codes, strict=True) if codes else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int32()), pa.array(control, pa.binary()), pa.array(data, pa.binary())],
-                names=["doc_id", "n_tokens", "control", "data"],
-            )
-
-    def place(batches):
+    def code(batches):
         from pyspark import TaskContext
 
         shard, at = TaskContext.get().partitionId(), 0
-        for b in batches:
-            n = b.column(1).to_numpy().astype(np.int64)
+        for b in portions(batches, 1):
+            n = pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64) // width
+            control, data, control_ends, data_ends = encode_all(rank_of[joined(b.column(1)).view(f"<u{width}")], n)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), shard), pa.int32()), pa.array(starts, pa.int64()), *b.columns],
+                [
+                    pa.array(np.full(len(n), shard), pa.int32()), pa.array(starts, pa.int64()), b.column(0), pa.array(n, pa.int32()),
+                    parted(control_ends, control), parted(data_ends, data),
+                ],
                 names=["shard", "at", "doc_id", "n_tokens", "control", "data"],
             )
 
-    coded = tokens.mapInArrow(encode, f"doc_id {kind}, n_tokens int, control binary, data binary")
-    tie = F.xxhash64("data", "control")
+    # ids are sorted before they are coded: cutting the ranges takes a pass over its input, which must stay a plain scan
+    tie = F.xxhash64("ids")
     (
-        coded.repartitionByRange(partitions(spark), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
-        .mapInArrow(place, f"shard int, at long, doc_id {kind}, n_tokens int, control binary, data binary")
+        tokens.repartitionByRange(partitions(spark), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
+        .mapInArrow(code, f"shard int, at long, doc_id {kind}, n_tokens int, control binary, data binary")
         .write.option("compression", "zstd").parquet(f"{out}/tokens")
     )
     removed(spark, kept)
@@ -136,9 +178,15 @@ def read_tokens(spark, out: str, digest: bool = False) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def decode(batches):
-        for b in slices(batches):
-            ids = [by_rank[decode_ranks(c, d, n)] for n, c, d in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)), strict=True)]
-            last = pa.array([zlib.crc32(i.tobytes()) for i in ids], pa.int64()) if digest else pa.array([i.astype(np.int64) for i in ids], pa.list_(pa.int64()))
+        for b in portions(batches, 5):
+            n = b.column(3).to_numpy().astype(np.int64)
+            ids = by_rank[decode_all(joined(b.column(4)), joined(b.column(5)), n)]
+            ends = np.append(0, np.cumsum(n))
+            if digest:
+                raw = memoryview(ids).cast("B") if len(ids) else b""
+                last = pa.array([zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(ends.tolist(), ends[1:].tolist())], pa.int64())
+            else:
+                last = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], last], names=["shard", "at", "doc_id", "n_tokens", "last"])
 
     decoded = rows.select("shard", "at", "doc_id", "n_tokens", "control", "data").mapInArrow(

@@ -61,6 +61,18 @@ def test_variable_length_code_round_trip(n):
     assert (token_files.decode_ranks(control, data, n) == ranks).all()
 
 
+@pytest.mark.parametrize("lengths", [[], [0], [3, 0, 4, 1, 9], [1] * 50, [0, 0, 5000, 2]])
+def test_variable_length_code_of_several_documents(lengths):
+    n = np.array(lengths, dtype=np.int64)
+    ranks = np.random.default_rng(len(n)).choice([0, 255, 256, 65535, 65536, 2**24, 2**32 - 1], n.sum()).astype(np.uint32)
+    control, data, control_ends, data_ends = token_files.encode_all(ranks, n)
+    assert (token_files.decode_all(control, data, n) == ranks).all()
+    at = np.append(0, np.cumsum(n))
+    for k in range(len(n)):
+        own = control[([0, *control_ends][k]) : control_ends[k]].tobytes(), data[([0, *data_ends][k]) : data_ends[k]].tobytes()
+        assert own == token_files.encode_ranks(ranks[at[k] : at[k + 1]])
+
+
 def test_packing_is_gapless_and_best_fit():
     rng = np.random.default_rng(0)
     counts = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 1025, 3000), return_counts=True), strict=True)}

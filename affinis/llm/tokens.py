@@ -1,23 +1,25 @@
-"""Token ids of whole texts by the tokenizers library, with a bounded cache of what stands between two spaces.
+"""Token ids of whole texts by the tokenizers library, with a bounded cache of what pre-tokenization parts.
 
-Byte-level BPE never joins across a space that has a letter or ASCII sign after it, so a text is cut there, each piece is
-looked up, and only pieces not met before go through the library. The ids are those of Tokenizer.encode(text,
-add_special_tokens=False) with encode_special_tokens set, as tests check.
+Where a text has only ASCII and Latin letters, one pattern parts it just as byte-level pre-tokenization does; each part is
+looked up, and what was not met before goes to the library's model. Other texts are cut at spaces before such characters
+(byte-level BPE never joins across these), and what holds any other character goes through the library as it is. The ids are
+those of Tokenizer.encode(text, add_special_tokens=False) with encode_special_tokens set, as tests check.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-PIECES, WORDS = 400_000, 200_000  # entries of a generation; when full, the one before goes and what is asked for again stays
+WORDS, LONGEST = 300_000, 64  # entries of a generation; when full, the one before goes and what is asked for again stays
 SPACE = re.compile(r" (?=[!-~À-ɏ])")
-LETTERS, SIGNS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r"[!-/:-@\[-`{-~]*"
-# a word or number with signs after it, perhaps over a line's end: how pre-tokenization parts it is plain
-PLAIN = re.compile(f"({LETTERS}|[0-9]+|)({SIGNS})(?:\n({LETTERS})({SIGNS}))?").fullmatch
-SAFE = re.compile(r"[!-~À-ɏ]").match
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+OTHER = re.compile(r"[^ \t\n!-~À-ɏ]").search
+# Fixed value: the pre-tokenization pattern of byte-level BPE, over the characters above
+PARTS = re.compile(rf" ?[{LETTERS}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+").findall
 
 
 def default_path() -> str:
@@ -33,12 +35,8 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-class _Unsafe(Exception):
-    pass
-
-
 class Encoder(dict):
-    """piece after a space -> its ids as bytes."""
+    """part of a text -> its ids as bytes."""
 
     def __init__(self, path: str):
         import os
@@ -54,66 +52,34 @@ class Encoder(dict):
         size = self.dtype.itemsize
         self.as_bytes = [i.to_bytes(size, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.letters = byte_letters()
-        self.blank = self.letters[32]
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def library(self, text: str) -> bytes:
-        return b"".join([self.as_bytes[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
-
-    def word(self, word: str) -> bytes:
-        """Of a piece that pre-tokenization leaves whole."""
-        found = self.words.get(word)
+    def __missing__(self, part: str) -> bytes:
+        found = self.old.get(part)
         if found is None:
-            found = self.old_words.get(word)
-            if found is None:
-                spelt = word.replace(" ", self.blank) if word.isascii() and "\n" not in word else word.encode().decode("latin-1").translate(self.letters)
-                ids = self.as_bytes
-                found = b"".join([ids[t.id] for t in self.model.tokenize(spelt)])
-            if len(self.words) >= WORDS:
-                self.old_words, self.words = self.words, {}
-            self.words[word] = found
-        return found
-
-    def piece(self, piece: str, lead: str) -> bytes:
-        m = PLAIN(piece)
-        if m is None or not piece:
-            return self.library(lead + piece)
-        word, signs, second, more = m.groups()
-        word_of = self.word
-        if second is None:
-            if signs:
-                return word_of(lead + word) + word_of(signs) if word else word_of(lead + signs)
-            return word_of(lead + word)
-        found = word_of(lead + word) + (word_of(signs) if signs else b"") if word else word_of(lead + signs) if signs else None
-        if found is None:
-            return self.library(lead + piece)
-        return found + word_of("\n") + word_of(second) + (word_of(more) if more else b"")
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.old.get(piece)
-        if found is None:
-            if not SAFE(piece):
-                raise _Unsafe
-            found = self.piece(piece, " ")
-        if len(self) >= PIECES:
+            ids = self.as_bytes
+            if OTHER(part):
+                found = b"".join([ids[i] for i in self.tokenizer.encode(part, add_special_tokens=False).ids])
+            else:
+                found = b"".join([ids[t.id] for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))])
+        if len(self) >= WORDS:
             self.old = dict(self)
             self.clear()
-        if len(piece) <= 64:
-            self[piece] = found
+        if len(part) <= LONGEST:
+            self[part] = found
         return found
 
+    def parts(self, text: str) -> list[str]:
+        """What can be encoded one by one."""
+        if not OTHER(text):
+            return PARTS(text)
+        first, *rest = SPACE.split(text)
+        pieces = chain([first] if first else [], (f" {p}" for p in rest))
+        return [w for p in pieces for w in ([p] if OTHER(p) else PARTS(p))]
+
     def encode(self, text: str | None) -> np.ndarray:
         """All ids of a text; none for an empty one or null."""
-        if not text:
-            return np.zeros(0, dtype=self.dtype)
-        first, *rest = text.split(" ")
-        try:
-            return np.frombuffer(self.piece(first, "") + b"".join(map(self.__getitem__, rest)), dtype=self.dtype)
-        except _Unsafe:
-            first, *rest = SPACE.split(text)
-            return np.frombuffer((self.piece(first, "") if first else b"") + b"".join(map(self.__getitem__, rest)), dtype=self.dtype)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.parts(text))) if text else b"", dtype=self.dtype)
 
 
 @lru_cache(maxsize=2)

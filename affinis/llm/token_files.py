@@ -49,12 +49,14 @@ def parted(ends: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def places(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For documents of so many ranks, one after another: each rank's place among the 2-bit lengths, and where each document's
-    control bytes end. A document's first rank opens a byte."""
+def used(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For documents of so many ranks, one after another: which of the 2-bit lengths in the control bytes are of ranks, not
+    padding, and where each document's control bytes end."""
     ends = np.cumsum(-(-lengths // 4))
-    first = 4 * np.append(0, ends[:-1]) if len(ends) else ends
-    return np.arange(lengths.sum()) + np.repeat(first - (np.cumsum(lengths) - lengths), lengths), ends
+    mask = np.ones(4 * ends[-1] if len(ends) else 0, dtype=bool)
+    for k in range(1, 4):
+        mask[4 * ends[-lengths % 4 >= k] - k] = False
+    return mask, ends
 
 
 def encode_all(ranks: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,13 +65,15 @@ def encode_all(ranks: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     size = np.ones(len(ranks), dtype=np.int8)
     for bits in (8, 16, 24):
         size += ranks >= (1 << bits)
-    at, control_ends = places(lengths)
-    codes = np.zeros((control_ends[-1] if len(control_ends) else 0, 4), dtype=np.uint8)
-    codes.reshape(-1)[at] = size - 1
+    mask, control_ends = used(lengths)
+    codes = np.zeros(len(mask), dtype=np.uint8)
+    codes[mask] = size - 1
+    codes = codes.reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
     ends = np.append(0, np.cumsum(size, dtype=np.int64))
     data = np.empty(ends[-1], dtype=np.uint8)
-    for k in range(4):
+    data[ends[:-1]] = ranks & np.uint32(255)
+    for k in (1, 2, 3):
         some = np.flatnonzero(size > k)
         if not len(some):
             break
@@ -79,7 +83,7 @@ def encode_all(ranks: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
 
 def decode_all(control: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All ranks of documents with so many ranks each; byte lengths come from a table looked up by control byte."""
-    size = LENGTHS[control].reshape(-1)[places(lengths)[0]]
+    size = LENGTHS[control].reshape(-1)[used(lengths)[0]]
     at = np.cumsum(size, dtype=np.int64) - size
     ranks = data[at].astype(np.uint32)
     for k in (1, 2, 3):
@@ -102,40 +106,46 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
-    """(doc_id, ids binary): the ids of whole texts, two bytes each where the vocabulary allows, with end_id after them."""
+    """(doc_id, ids binary, counts null): the ids of whole texts, two bytes each where the vocabulary allows, with end_id after
+    them; and from each partition a row (null, null, counts): how often it has each id from 0 on, eight bytes each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         e = encoder(path)
         end = np.array([] if end_id is None else [end_id], dtype=e.dtype).tobytes()
+        names, total, empty = ["doc_id", "ids", "counts"], np.zeros(len(e.as_bytes), dtype=np.int64), None
         for b in slices(batches):
             ids = [e.encode(t).tobytes() + end for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for at in range(0, len(ids), 32):
+                total += np.bincount(np.frombuffer(b"".join(ids[at : at + 32]), dtype=e.dtype), minlength=len(total))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+            empty = pa.nulls(1, b.column(0).type)
+        if empty is not None:
+            yield pa.RecordBatch.from_arrays([empty, pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, counts binary")
 
 
-def frequencies(tokens: DataFrame, width: int) -> DataFrame:
-    """(id, n): how often each id stands in tokens; each partition sums its own first."""
+def frequencies(tokenized: DataFrame) -> DataFrame:
+    """(id, n): how often each id stands in the whole of tokenized, from the partitions' counts."""
 
     def run(batches):
-        total = np.zeros(0, dtype=np.int64)
-        for b in portions(batches, 0):
-            n = np.bincount(joined(b.column(0)).view(f"<u{width}"))
-            total = np.pad(total, (0, max(0, len(n) - len(total))))
-            total[: len(n)] += n
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
+        for b in batches:
+            for raw in b.column(0).to_pylist():
+                total = np.frombuffer(raw, dtype=np.int64)
+                ids = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokenized.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int = 0) -> None:
     """Tokenize whole texts and write them under out (folders tokens and ranks), ascending by doc_id."""
     spark, path = docs.sparkSession, tokenizer or default_path()
     width = encoder(path).dtype.itemsize
-    tokens, kept = written(tokenize(docs, path, end_id), "token-ids")
-    ranked = frequencies(tokens, width).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
+    tokenized, kept = written(tokenize(docs, path, end_id), "token-ids")
+    tokens = tokenized.where("counts IS NULL").select("doc_id", "ids")
+    ranked = frequencies(tokenized).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
     by_rank = np.array([r.id for r in ranked], dtype=np.uint32)
     spark.createDataFrame([(k, int(i)) for k, i in enumerate(by_rank)], "rank int, id long").coalesce(1).write.parquet(f"{out}/ranks")
     rank_of = np.zeros(int(by_rank.max(initial=0)) + 1, dtype=np.uint32)

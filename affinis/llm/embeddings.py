@@ -10,7 +10,8 @@ shards have none in common are not compared: both are in two shards at least, an
 
 Each shard audits a sample of its vectors against brute force; where a link was missed, its search is repeated with a beam as
 wide as need be. A shard above BLOCK vectors is dealt over blocks with a graph of their own, which every query of the shard
-visits: a hot cluster is never gathered. Pairs are counted where they are found; only links that connect leave the task.
+visits: a hot cluster is never gathered. Pairs are counted and joined where they are found: what leaves a task is the count of
+each vector and a link to the least vector that its pairs there lead to, in any number of steps.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, or are of another length than most, link with
 nothing and are their own component. Rows with equal ids keep one row each and link like any others.
@@ -193,8 +194,22 @@ def lower_shards(column, pad: int) -> np.ndarray:
     return out
 
 
+def chained(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after links a-b: the least vertex that can be reached, for labels that are such already."""
+    while True:
+        one, two = label[a], label[b]
+        open_ = one != two
+        if not open_.any():
+            return label
+        a, b, one, two = a[open_], b[open_], one[open_], two[open_]
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while (label != label[label]).any():
+            label = label[label]
+
+
 def links(classes: DataFrame, c: np.ndarray, threshold: float) -> DataFrame:
-    """(k, n, low): for each class the number of vectors of other classes at or above threshold, found in each shard, and the least."""
+    """(k, n, low): for each class the number of vectors of other classes at or above threshold, found in each shard, and a link:
+    the (k, low) of a shard connect whatever its pairs connect."""
 
     def assign(batches):
         for b in batches:
@@ -258,20 +273,20 @@ def links(classes: DataFrame, c: np.ndarray, threshold: float) -> DataFrame:
             if met >= truth or beam >= len(x):
                 break
             beam *= 2
-        out = []
+        # vertices by id: the least label is the least id
+        ids = np.unique(k)
+        qi, xi = np.searchsorted(ids, qk), np.searchsorted(ids, xk)
+        n, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
         step = max(16, min(512, 8_000_000 // len(x)))
         for at in range(0, len(q), step):
             who, to = ask(np.arange(at, min(len(q), at + step)), threshold - 1e-9, beam)
             # verified: the cosine itself
             good = (np.einsum("ij,ij->i", q[at + who], x[to]) >= threshold) & (qk[at + who] != xk[to]) & apart(ql[at + who], xl[to])
             who, to = who[good], to[good]
-            n = np.bincount(who, weights=xw[to], minlength=0).astype(np.int64)
-            low = np.full(len(n), np.iinfo(np.int64).max)
-            np.minimum.at(low, who, xk[to])
-            some = np.flatnonzero(n)
-            out.append((qk[at + some], n[some], low[some]))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("k", "n", "low"), cols, strict=True)})
+            n += np.bincount(qi[at + who], weights=xw[to], minlength=len(ids)).astype(np.int64)
+            label = chained(label, qi[at + who], xi[to])
+        some = np.flatnonzero((n > 0) | (label != np.arange(len(ids))))
+        return pa.table({"k": pa.array(ids[some], pa.int64()), "n": pa.array(n[some], pa.int64()), "low": pa.array(ids[label[some]], pa.int64())})
 
     return both.groupBy("shard", "block").applyInArrow(run, "k long, n long, low long")
 

@@ -259,6 +259,23 @@ def test_embedding_links_are_complete(monkeypatch, cloud, shard):
     assert all((got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True) for k in range(1000, 1005))
 
 
+@pytest.mark.parametrize("block", [12_000, 2])
+def test_embedding_chains_stay_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    # 15 degrees apart: only neighbours of a chain are linked
+    chains = [(1, 3, 4, 2), (13, 11, 14, 12, 15), (24, 23, 22, 21)]
+    rows = []
+    for c, chain in enumerate(chains):
+        for step, k in enumerate(chain):
+            v = np.zeros(6)
+            v[2 * c], v[2 * c + 1] = np.cos(np.radians(15 * step)), np.sin(np.radians(15 * step))
+            rows.append((k, v.tolist()))
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for chain in chains:
+        assert {(got[k].component_id, got[k].kept) for k in chain} == {(min(chain), False), (min(chain), True)}
+        assert [got[k].n_links for k in chain] == [1, *[2] * (len(chain) - 2), 1]
+
+
 def test_nearest_neighbours_recall(cloud):
     x, rows = cloud
     got = neighbours.search(rows, F.col("vec_id") % 20 == 0).collect()

@@ -1,12 +1,16 @@
 """Embedding near-duplicates on a robust-pruned flat graph.
 
-Equal vectors make one class. A bounded sample of classes gives cluster centres (a few Lloyd rounds); every class joins the
-shards of its OVERLAP nearest centres and of all within MARGIN of the nearest, and each shard builds a pruned proximity graph: of a vertex's nearest candidates one is
-kept only if no kept one is closer to it by the factor ALPHA. Adjacency lists of a vertex from all its shards are united, both
-ways. Every vector then searches its shards: a greedy beam search from
-the medoids of the shard and of its stretches over the united lists, and from every hit on a range expansion: neighbours of hits, until none is new.
-What it meets is verified in double precision; a pair counts in the first shard that holds both, so once. Two vectors whose
-shards have none in common are not compared: both are in two shards at least, and in all within MARGIN of their nearest.
+Equal vectors make one class. A bounded sample of classes gives cluster centres (a few Lloyd rounds); every class is at home in
+the shard of its nearest centre a, and each shard builds a pruned proximity graph: of a vertex's nearest candidates one is kept
+only if no kept one is closer to it by the factor ALPHA. Every vector searches its home shard: a greedy beam search from the
+medoids of the shard and of its stretches over the lists, united both ways, and from every hit on a range expansion:
+neighbours of hits, until none is new. What it meets is verified in double precision.
+
+A vector also asks every shard b whose centre is at most sqrt((1 - threshold) / 2) |a - b| less similar to it than a is. Of two
+linked vectors with homes a and b, one at least asks the other's home: their distance d is at most sqrt(2 - 2 threshold), and
+what one prefers a and the other b by adds up to at most d |a - b|. There it is compared with every vector at home, as it is no
+vertex of the graph. So no pair is lost between shards; how many shards a vector asks depends on the data, and where
+vectors have no clear nearest centre it is a fixed share of all shards, and the work grows with the square of the input.
 
 Each shard audits a sample of its vectors against brute force; where a link was missed, its search is repeated with a beam as
 wide as need be. A shard above BLOCK vectors is dealt over blocks with a graph of their own, which every query of the shard
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from affinis.llm.common import components, cut, table
 
-SHARD, BLOCK, OVERLAP, MARGIN, SAMPLE, CENTRES = 4096, 12_000, 2, 0.06, 20_000, 4096
+SHARD, BLOCK, SAMPLE, CENTRES = 4096, 12_000, 20_000, 4096
 DEGREE, CANDIDATES, ALPHA, BEAM, AUDIT, ENTRIES = 24, 48, 1.2, 32, 64, 96
 
 
@@ -176,22 +180,27 @@ def search(q: np.ndarray, x: np.ndarray, offsets, targets, start: np.ndarray, th
     return key // n, key % n
 
 
-def apart(lower_a: np.ndarray, lower_b: np.ndarray) -> np.ndarray:
-    """True where two rows of padded shard numbers (paddings of a and b differ) have none in common."""
-    none = np.ones(len(lower_a), dtype=bool)
-    for i in range(lower_a.shape[1]):
-        for j in range(lower_b.shape[1]):
-            none &= lower_a[:, i] != lower_b[:, j]
-    return none
+def asked(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home shard of each unit vector in x, and a table (vector, shard) of the other shards that it asks."""
+    s = x @ c.T
+    home = s.argmax(axis=1)
+    own, squares = c[home], np.einsum("ij,ij->i", c, c)
+    apart = np.sqrt(np.maximum(0, squares[home, None] + squares - 2 * own @ c.T))
+    # 1e-7 for the rounding of both sides
+    asks = s[np.arange(len(x)), home][:, None] - s <= math.sqrt((1 - threshold) / 2) * apart + 1e-7
+    asks[np.arange(len(x)), home] = False
+    return home, asks
 
 
-def lower_shards(column, pad: int) -> np.ndarray:
-    """A list column of shard numbers, padded to a matrix."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    n = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    out = np.full((len(n), int(n.max(initial=0))), pad, dtype=np.int64)
-    out[np.arange(out.shape[1]) < n[:, None]] = column.flatten().to_numpy(zero_copy_only=False)
-    return out
+def dense(q: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vertex) of all pairs at or above threshold."""
+    s = q @ x.T
+    who, to = np.nonzero(s >= threshold - 1e-9)
+    near = np.flatnonzero(s[who, to] < threshold + 1e-9)
+    # verified as in search, where the product may round otherwise
+    good = np.ones(len(who), dtype=bool)
+    good[near] = np.einsum("ij,ij->i", q[who[near]], x[to[near]]) >= threshold
+    return who[good], to[good]
 
 
 def chained(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -216,41 +225,37 @@ def links(classes: DataFrame, c: np.ndarray, threshold: float) -> DataFrame:
             if not b.num_rows:
                 continue
             x = stacked(b.column(2))
-            s = x / np.linalg.norm(x, axis=1, keepdims=True) @ c.T
-            order = np.argsort(-s, axis=1, kind="stable")
-            asks = s >= s.max(axis=1, keepdims=True) - MARGIN
-            asks[np.arange(len(s))[:, None], order[:, : min(OVERLAP, len(c))]] = True
+            home, asks = asked(x / np.linalg.norm(x, axis=1, keepdims=True), c, threshold)
             row, shard = np.nonzero(asks)
-            # the vector's shards of lower number
-            count = asks.sum(axis=1)
-            rank = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            edge = np.append(0, np.cumsum(rank))
-            base = np.repeat(np.arange(len(row)) - rank - edge[:-1], rank)
-            lower = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(shard[base + np.arange(edge[-1])], pa.int64()))
-            t = pa.array(row)
+            edge = np.append(0, np.cumsum(asks.sum(axis=1)))
+            others = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(shard, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.astype(np.int64)), b.column(0).take(t), b.column(1).take(t), b.column(2).take(t), lower],
-                names=["shard", "k", "weight", "v", "lower"],
+                [pa.array(home.astype(np.int64)), b.column(0), b.column(1), b.column(2), others],
+                names=["home", "k", "weight", "v", "others"],
             )
 
-    kinds = "shard long, k long, weight long, v array<double>, lower array<long>"
-    dealt = cut(classes.select("k", "weight", "v").mapInArrow(assign, kinds))
+    kinds = "home long, k long, weight long, v array<double>, others array<long>"
+    dealt = cut(classes.select("k", "weight", "v").mapInArrow(assign, kinds)).withColumn("shard", F.col("home"))
     # a row for each shard
     sizes = {r.shard: r.n for r in dealt.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     blocks = {s: max(1, math.ceil(n / BLOCK)) for s, n in sizes.items()}
     parts = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for s, n in blocks.items() for x in (s, n))), F.col("shard")), F.lit(1)) if blocks else F.lit(1)
     own = F.pmod(F.xxhash64("k"), parts)
-    inside = dealt.withColumns({"block": own, "inside": F.lit(True), "ask": F.lit(False)})
-    asking = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumns({"inside": F.lit(False), "ask": F.lit(True)})
+    inside = dealt.withColumns({"block": own.cast("long"), "inside": F.lit(True)})
+    no_list = F.array().cast("array<long>")
+    visits = dealt.withColumns({"shard": F.explode(F.concat(F.array("home"), "others")), "others": no_list})
+    asking = visits.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumn("inside", F.lit(False))
     both = inside.unionByName(asking)
 
     def run(rows):
-        k, weight, member, asking = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("k", "weight", "inside", "ask"))
-        v, lower = stacked(rows.column("v")), rows.column("lower")
+        shard, home, k, weight, member = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "home", "k", "weight", "inside"))
+        v = stacked(rows.column("v"))
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        x, xk, xw, xl = v[member], k[member], weight[member], lower_shards(lower, -1)[member]
-        q, qk, ql = v[asking], k[asking], lower_shards(lower, -2)[asking]
-        if not len(x) or not len(q):
+        guest = ~member & (home != shard)
+        asking = ~member & ~guest
+        x, xk, xw = v[member], k[member], weight[member]
+        q, qk = v[asking], k[asking]
+        if not len(x):
             return pa.table({"k": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "low": pa.array([], pa.int64())})
         offsets, targets = united([graph(x)], len(x))
         # the medoid of the shard and of each of its stretches
@@ -281,10 +286,23 @@ def links(classes: DataFrame, c: np.ndarray, threshold: float) -> DataFrame:
         for at in range(0, len(q), step):
             who, to = ask(np.arange(at, min(len(q), at + step)), threshold - 1e-9, beam)
             # verified: the cosine itself
-            good = (np.einsum("ij,ij->i", q[at + who], x[to]) >= threshold) & (qk[at + who] != xk[to]) & apart(ql[at + who], xl[to])
+            good = (np.einsum("ij,ij->i", q[at + who], x[to]) >= threshold) & (qk[at + who] != xk[to])
             who, to = who[good], to[good]
             n += np.bincount(qi[at + who], weights=xw[to], minlength=len(ids)).astype(np.int64)
             label = chained(label, qi[at + who], xi[to])
+        # a pair of two homes counts here for both, unless the member asks the guest's home too, of lower number
+        others = rows.column("others").combine_chunks().filter(pa.array(member))
+        far, size = others.flatten().to_numpy(zero_copy_only=False), others.value_lengths().to_numpy(zero_copy_only=False)
+        span = int(max(home.max(), far.max(initial=0))) + 1
+        there = np.repeat(np.arange(len(x)), size) * span + far
+        g, gk, gw, gh, gi = v[guest], k[guest], weight[guest], home[guest], np.searchsorted(ids, k[guest])
+        for at in range(0, len(g), step):
+            who, to = dense(g[at : at + step], x, threshold)
+            who = at + who
+            good = (gk[who] != xk[to]) & ((gh[who] > shard[0]) | ~np.isin(to * span + gh[who], there))
+            who, to = who[good], to[good]
+            n += np.bincount(gi[who], weights=xw[to], minlength=len(ids)).astype(np.int64) + np.bincount(xi[to], weights=gw[who], minlength=len(ids)).astype(np.int64)
+            label = chained(label, gi[who], xi[to])
         some = np.flatnonzero((n > 0) | (label != np.arange(len(ids))))
         return pa.table({"k": pa.array(ids[some], pa.int64()), "n": pa.array(n[some], pa.int64()), "low": pa.array(ids[label[some]], pa.int64())})
 

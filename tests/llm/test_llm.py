@@ -259,6 +259,25 @@ def test_embedding_links_are_complete(monkeypatch, cloud, shard):
     assert all((got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True) for k in range(1000, 1005))
 
 
+@pytest.mark.parametrize("block", [12_000, 40])
+def test_embedding_links_between_shards(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "SHARD", 12)
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    # close to the bound and without a clear nearest centre: few linked pairs share one
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=(200, 12))
+    away -= (away * x[:200]).sum(axis=1, keepdims=True) * x[:200]
+    x[200:] = 0.951 * x[:200] + np.sqrt(1 - 0.951**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    label = np.arange(len(x))
+    for _ in range(20):
+        label = np.array([label[n].min() for n in near])
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert [(got[k].n_links, got[k].component_id) for k in range(len(x))] == [(int(near[k].sum()) - 1, label[k]) for k in range(len(x))]
+
+
 @pytest.mark.parametrize("block", [12_000, 2])
 def test_embedding_chains_stay_whole(spark, monkeypatch, block):
     monkeypatch.setattr(embeddings, "BLOCK", block)

@@ -137,10 +137,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keep = best.select(F.col("best.doc_id").alias("k_id"), F.col("best.th").alias("k_th"))
     names = docs.columns
     rows = docs.withColumn("k_th", F.xxhash64("text"))
-    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["k_id"]) & (rows["k_th"] == keep["k_th"]), "left_semi").select(*names)
-    if grouped.groupBy("doc_id", "th").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["k_id"]) & (rows["k_th"] == keep["k_th"]), "left_semi")
+    # a component's rows are those of one pair: rows that repeat it count once, whatever other components share the id
+    return kept.dropDuplicates(["doc_id", "k_th"]).select(*names)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

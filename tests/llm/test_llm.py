@@ -140,6 +140,16 @@ def test_fingerprints_and_groups(docs, texts):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(set(label.values()))
 
 
+def test_keep_one_keeps_one_row_of_each_group_without_unique_ids(spark):
+    rng = np.random.default_rng(5)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(60))
+    a, b, c, e, f = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, c), (None, c), (7, e), (7, e), (7, f), (8, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(8, a), (None, b), (None, c), (7, e), (7, f)], key=str)
+
+
 @pytest.mark.parametrize("passes", [1_000_000, 500])
 def test_ball_hashing_finds_every_link(monkeypatch, passes):
     monkeypatch.setattr(simhash, "PASS", passes)

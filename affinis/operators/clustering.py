@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,14 +72,41 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def unite(sets: list[tuple], limit: float) -> list[tuple]:
+    """Statistics (cluster, n, total, squares) where, time after time, the set nearest to another is added to it, if below limit.
+
+    The distance is that of a set's centre from the other set, in its deviations; a dimension without deviation where they differ is
+    infinitely far. Ties go to the smallest numbers; the united set has the smaller number of both.
+    """
+    sets = sorted((c, n, np.array(t, dtype=float), np.array(q, dtype=float)) for c, n, t, q in sets)
+    while len(sets) > 1:
+        n = np.array([s[1] for s in sets], dtype=float)[:, None]
+        mean = np.stack([s[2] for s in sets]) / n
+        var = np.maximum(0, np.stack([s[3] for s in sets]) / n - mean * mean)
+        apart = np.full((len(sets), len(sets)), np.inf)
+        for j in range(len(sets)):
+            gap = (mean - mean[j]) ** 2
+            scaled = np.divide(gap, var[j], out=np.where(gap > 0, np.inf, 0.0), where=var[j] > 0)
+            apart[:, j] = np.round(np.sqrt(scaled.sum(axis=1)), 6)
+            apart[j, j] = np.inf
+        apart = np.minimum(apart, apart.T)
+        a, b = np.unravel_index(apart.argmin(), apart.shape)
+        if not apart[a, b] < limit:
+            break
+        one, two = sets[a], sets.pop(b)
+        sets[a] = (one[0], one[1] + two[1], one[2] + two[2], one[3] + two[3])
+    return [(int(c), int(n), t.tolist(), q.tolist()) for c, n, t, q in sets]
+
+
 def bfr(points: DataFrame, chunk: str, k: int, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
     """((id, cluster), round report) of BFR over the chunks in their order.
 
     The first chunk is clustered into 3 k groups: the k largest are the discard sets, others with over one
     point compression sets, single points are retained. A later chunk's points go to the nearest discard set below 2 sqrt(d), else to
-    the nearest compression set below 3 sqrt(d), else are retained; retained points are clustered again, statistics follow every round, and
-    compression sets within 2 sqrt(d) of another are merged into it. In the end all compression sets and retained points go
-    to the nearest discard set. Only statistics of at most a few k clusters are on the driver.
+    the nearest compression set below 3 sqrt(d), else are retained. In every later round all retained points are then clustered into
+    3 k groups again, and those with over one point become compression sets. Every round ends with compression sets within
+    2 sqrt(d) of another merged into it, statistics added. In the end all points of compression sets and retained points go
+    to the nearest discard set. Only statistics of the clusters, at most 3 k more a round, are on the driver.
     """
     spark = points.sparkSession
     chunks = [r[0] for r in points.select(chunk).distinct().orderBy(chunk).collect()]
@@ -91,7 +119,15 @@ def bfr(points: DataFrame, chunk: str, k: int, rounds: int = 5) -> tuple[DataFra
     cs = {r.cluster: 10_000 + j for j, r in enumerate(r for r in sized[k:] if r.n > 1)}
     lookup = spark.createDataFrame([(int(a), int(b)) for a, b in {**ds, **cs}.items()], "old long, cluster long")
     own = first.join(groups.withColumnRenamed("cluster", "old"), "id").join(F.broadcast(lookup), "old", "left").select("id", "vec", "cluster").persist()
-    stats = small(statistics(own.where("cluster IS NOT NULL")))
+    sums = "cluster long, n long, total array<double>, squares array<double>"
+    number_of = 10_000 + len(cs)
+
+    def settled(found):
+        """The statistics, on the driver, with compression sets united."""
+        rows = [tuple(r) for r in found.collect()]
+        return spark.createDataFrame([r for r in rows if r[0] < 10_000] + unite([r for r in rows if r[0] >= 10_000], 2 * limit), sums)
+
+    stats = settled(statistics(own.where("cluster IS NOT NULL")))
     placed, retained, report = own, own.where("cluster IS NULL").select("id", "vec"), []
 
     def note(number):
@@ -103,11 +139,21 @@ def bfr(points: DataFrame, chunk: str, k: int, rounds: int = 5) -> tuple[DataFra
         new = points.where(F.col(chunk) == F.lit(name)).select("id", "vec")
         near = mahalanobis_assign(new, stats.where("cluster < 10000"), 2 * limit).drop("dist").persist()
         loose = near.where("cluster IS NULL").select("id", "vec")
-        more = mahalanobis_assign(loose, stats.where("cluster >= 10000"), 3 * limit).drop("dist").persist() if cs else loose.withColumn("cluster", F.lit(None).cast("long"))
+        more = mahalanobis_assign(loose, stats.where("cluster >= 10000"), 3 * limit).drop("dist").persist()
         taken = near.where("cluster IS NOT NULL").unionByName(more.where("cluster IS NOT NULL")).persist()
         stats = small(merged(stats, statistics(taken)))
-        retained = retained.unionByName(more.where("cluster IS NULL").select("id", "vec")).persist()
-        placed = placed.where("cluster IS NOT NULL").unionByName(taken).unionByName(retained.withColumn("cluster", F.lit(None).cast("long"))).persist()
+        left = retained.unionByName(more.where("cluster IS NULL").select("id", "vec")).persist()
+        if left.limit(2).count() > 1:
+            groups = kmeans(left, farthest_first(left, 3 * k), rounds).persist()
+            several = sorted(r.cluster for r in groups.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").collect())
+            lookup = spark.createDataFrame([(int(c), number_of + j) for j, c in enumerate(several)], "old long, cluster long")
+            number_of += len(several)
+            again = left.join(groups.withColumnRenamed("cluster", "old"), "id").join(F.broadcast(lookup), "old", "left").select("id", "vec", "cluster").persist()
+        else:
+            again = left.withColumn("cluster", F.lit(None).cast("long"))
+        retained = again.where("cluster IS NULL").select("id", "vec")
+        stats = settled(stats.unionByName(statistics(again.where("cluster IS NOT NULL"))))
+        placed = placed.where("cluster IS NOT NULL").unionByName(taken).unionByName(again).persist()
         note(number)
     # every leftover point goes to the nearest discard set
     discard = stats.where("cluster < 10000").select("cluster", F.transform("total", lambda s: s / F.col("n")).alias("centre"))

@@ -99,6 +99,21 @@ def test_kmeans_and_bfr_count_every_point(spark):
         assert r.nof_point_discard + r.nof_point_compression + r.nof_point_retained == seen
 
 
+def test_bfr_clusters_retained_points_and_merges_compression_sets(spark):
+    blob = [[float(a), float(b)] for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    chunks = [[*blob, [1000.0, 0.0], [0.0, 1000.0]], [[1001.0, 2.0], [-1000.0, -1000.0]], [[1010.0, 0.0], [1030.0, 40.0]]]
+    p = [(c, v) for c, chunk in enumerate(chunks) for v in chunk]
+    assigned, report = clustering.bfr(spark.createDataFrame([(i, v, c) for i, (c, v) in enumerate(p)], "id long, vec array<double>, chunk long"), "chunk", 1)
+    # round 2: two retained points become a set; round 3: two more do, and that set is merged with the first
+    assert rows(report, "round_id") == [(1, 1, 9, 0, 0, 2), (2, 1, 9, 1, 2, 2), (3, 1, 9, 1, 4, 2)]
+    assert rows(assigned) == [(i, 0) for i in range(len(p))]
+
+
+def test_unite_adds_statistics():
+    sets = [(10_002, 2, [2040.0], [2040.0**2 / 2 + 200]), (10_001, 2, [2001.0], [2001.0**2 / 2 + 0.5]), (10_003, 2, [10.0], [50.0])]
+    assert clustering.unite(sets, 2.0) == [(10_001, 4, [4041.0], [2040.0**2 / 2 + 200 + 2001.0**2 / 2 + 0.5]), (10_003, 2, [10.0], [50.0])]
+
+
 def test_mahalanobis_without_variance(spark):
     p = spark.createDataFrame([(1, [1.0, 5.0], 0), (2, [3.0, 5.0], 0)], "id long, vec array<double>, cluster long")
     got = rows(clustering.mahalanobis_assign(p.select("id", "vec"), clustering.statistics(p), 4.0).select("id", "cluster", "dist"))

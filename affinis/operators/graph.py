@@ -36,7 +36,7 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, component): the smallest vertex that can be reached."""
+    """(id, component): the smallest vertex that can be reached. Raises if that has not settled in max_rounds."""
     arcs = directed(edges).persist()
     labels = vertices(edges).select("id", F.col("id").alias("component"))
     spark = edges.sparkSession
@@ -48,6 +48,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         labels = step.select("id", F.col("now").alias("component"))
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
     return labels
 
 

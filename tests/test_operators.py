@@ -83,6 +83,12 @@ def test_bridge_betweenness_and_communities(spark):
     assert not rows(graph.girvan_newman(none)) and not rows(graph.label_propagation(none))
 
 
+def test_components_raise_rather_than_split(spark):
+    path = edges(spark, *((k, k + 1) for k in range(1, 6)))
+    with pytest.raises(RuntimeError):
+        graph.connected_components(path, 3)
+
+
 def test_modularity_of_two_triangles(spark):
     e = edges(spark, (1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (4, 6), (5, 6))
     labels = spark.createDataFrame([(k, 1 if k < 4 else 2) for k in range(1, 7)], "id long, label long")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,25 +12,35 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts are large rows: fewer of them at a time go to a Python worker, unless the session says how many."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Whole texts are large rows: at most so many at a time go to a Python worker while this lasts; then as it was."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+    was = spark.conf.get(key)
+    if not 0 < int(was) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset and all runs on this machine, a
+    folder of our own; on a cluster it must be set."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir")
     if not path:
         own = sc._jsc.sc().getCheckpointDir()
-        path = own.get() if own.isDefined() else tempfile.mkdtemp(prefix="affinis-")
+        if own.isDefined():
+            return own.get()
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="affinis-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(path)
     return path
@@ -38,8 +49,21 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written to the shared checkpoint folder now: computed once, and no executor's loss undoes them."""
     shared_dir(df.sparkSession)
-    small_batches(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number of each row's own; fixed once the result has been cut."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def own_name(name: str, taken) -> str:
+    """name, or name with underscores after it, so that it is none of the names taken, whatever their case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def released(spark: SparkSession) -> None:
@@ -61,7 +85,8 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFr
     """df written as Parquet in the shared folder and read again, and the path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

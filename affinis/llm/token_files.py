@@ -12,6 +12,7 @@ No documents give an empty folder.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import partitions, removed, shared_dir, slices, table, written
+from affinis.llm.common import cut, partitions, removed, shared_dir, slices, small_batches, table, written
 from affinis.llm.tokens import default_path, encoder
 
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.int8) + 1  # bytes of the four ranks of a control byte
@@ -171,11 +172,12 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str | None = None, end_id
 
     # ids are sorted before they are coded: cutting the ranges takes a pass over its input, which must stay a plain scan
     tie = F.xxhash64("ids")
-    (
+    coded = (
         tokens.repartitionByRange(partitions(spark), F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
         .mapInArrow(code, f"shard int, at long, doc_id {kind}, n_tokens int, control binary, data binary")
-        .write.option("compression", "zstd").parquet(f"{out}/tokens")
     )
+    with small_batches(spark):
+        coded.write.option("compression", "zstd").parquet(f"{out}/tokens")
     removed(spark, kept)
 
 
@@ -213,9 +215,9 @@ def read_tokens(spark, out: str, digest: bool = False) -> DataFrame:
 
 
 def op9_token_files(spark, sf_dir: str) -> DataFrame:
-    """Every document through the files and back, as digests."""
-    import uuid
-
+    """Every document through the files and back, as digests; the files go when these are taken."""
     out = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), out)
-    return read_tokens(spark, out, digest=True)
+    digests = cut(read_tokens(spark, out, digest=True))
+    removed(spark, out)
+    return digests

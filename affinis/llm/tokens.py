@@ -2,8 +2,8 @@
 
 Where a text has only ASCII and Latin letters, one pattern parts it just as byte-level pre-tokenization does; each part is
 looked up, and what was not met before goes to the library's model. Other texts are cut at spaces before such characters
-(byte-level BPE never joins across these), and what holds any other character goes through the library as it is. The ids are
-those of Tokenizer.encode(text, add_special_tokens=False) with encode_special_tokens set, as tests check.
+(byte-level BPE never joins across these), and what holds any other character goes through the library as it is, as does a
+whole text in which an added token is spelt out. The ids are those of Tokenizer.encode(text, add_special_tokens=False).
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         size = self.dtype.itemsize
@@ -79,7 +79,11 @@ class Encoder(dict):
 
     def encode(self, text: str | None) -> np.ndarray:
         """All ids of a text; none for an empty one or null."""
-        return np.frombuffer(b"".join(map(self.__getitem__, self.parts(text))) if text else b"", dtype=self.dtype)
+        if not text:
+            return np.zeros(0, dtype=self.dtype)
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+        return np.frombuffer(b"".join(map(self.__getitem__, self.parts(text))), dtype=self.dtype)
 
 
 @lru_cache(maxsize=2)

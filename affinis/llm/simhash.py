@@ -2,8 +2,9 @@
 
 Two fingerprints that differ in at most 2r bits have a common variant: a 64-bit string within r bits of both. Every distinct
 fingerprint emits its variants within r = 2 bits, and equal variants meet. The 2,081 variants of a fingerprint are not sent
-one by one: those with the same leading bits share one row, and the task that owns those leading bits spells out the rest. All
-fingerprints that share a variant are within 2r bits of each other, so a variant's fingerprints are linked to one of them, in
+one by one: those with the same leading bits share one row, and the task that owns those leading bits spells out the rest. Where
+many fingerprints crowd on the same leading bits, their rows go on by STEP more bits, time after time, up to all but eight: one
+task then holds at most the fingerprints around a single prefix. All fingerprints that share a variant are within 2r bits of each other, so a variant's fingerprints are linked to one of them, in
 a chain that stays linear however many there are; each link is checked. Classes of equal fingerprints come first, by an
 aggregate that combines before its shuffle, and only one member stands for a class.
 
@@ -14,6 +15,7 @@ A null doc_id never names a component: a group in which every id is null has a n
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from affinis.llm.common import components, cut, slices, table
 
-BITS, RADIUS, PER_BUCKET, PASS = 64, 2, 512, 1_000_000
+BITS, RADIUS, PER_BUCKET, PASS, HOT, STEP = 64, 2, 512, 1_000_000, 8, 8
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -106,16 +108,35 @@ def chained(fps: np.ndarray, bucket: int, lead: int) -> tuple[np.ndarray, np.nda
 def links(distinct: DataFrame, count: int) -> DataFrame:
     """(a, b): links between distinct fingerprints fp that connect whatever is within 2 * RADIUS bits, directly or in steps."""
     lead = min(24, max(4, math.ceil(math.log2(max(1, count) / PER_BUCKET))))
-    masks = [int(x) for x in flips(lead, RADIUS)]
 
-    def meet(key, rows):
-        fps = rows.column(1).to_numpy().view(np.uint64)
-        a, b = chained(fps, key[0].as_py(), lead)
-        return pa.table({"a": pa.array(fps[a].view(np.int64)), "b": pa.array(fps[b].view(np.int64))})
-
-    own = F.shiftrightunsigned("fp", BITS - lead)
-    spread = distinct.select(F.explode(F.array(*(own.bitwiseXOR(F.lit(m)) for m in masks))).alias("bucket"), "fp")
-    return spread.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    def met(rows: DataFrame, lead: int) -> DataFrame:
+        def meet(key, group):
+            fps = group.column(1).to_numpy().view(np.uint64)
+            a, b = chained(fps, key[0].as_py(), lead)
+            return pa.table({"a": pa.array(fps[a].view(np.int64)), "b": pa.array(fps[b].view(np.int64))})
+
+        return rows.select("bucket", "fp").groupBy("bucket").applyInArrow(meet, "a long, b long")
+
+    def spread(rows: DataFrame, bucket, bits: int) -> DataFrame:
+        """rows with bucket as given, but for up to `left` flips of its lowest bits."""
+        masks = F.array(*(F.struct(F.lit(int(m)).alias("m"), F.lit(int(m).bit_count()).alias("k")) for m in flips(bits, RADIUS)))
+        each = rows.select("fp", "left", bucket.alias("at"), F.explode(masks).alias("flip")).where("flip.k <= left")
+        return each.select(F.col("at").bitwiseXOR(F.col("flip.m")).alias("bucket"), "fp", (F.col("left") - F.col("flip.k")).alias("left"))
+
+    rows = spread(distinct.select("fp", F.lit(RADIUS).alias("left")), F.shiftrightunsigned("fp", BITS - lead), lead)
+    done = []
+    most = HOT * PER_BUCKET
+    while lead + STEP < BITS:
+        crowd = distinct.groupBy(F.shiftrightunsigned("fp", BITS - lead).alias("own")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if not crowd or crowd <= most:
+            break
+        # crowded leading bits: more of them part the variants of the fingerprints there
+        crowded = cut(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > most * len(flips(lead, RADIUS))).select("bucket"))
+        done.append(met(rows.join(crowded, "bucket", "left_anti"), lead))
+        lead += STEP
+        following = F.shiftrightunsigned("fp", BITS - lead).bitwiseAND(F.lit((1 << STEP) - 1))
+        rows = spread(rows.join(crowded, "bucket", "left_semi"), F.shiftleft("bucket", STEP).bitwiseOR(following), STEP)
+    return reduce(DataFrame.unionByName, [*done, met(rows, lead)])
 
 
 def groups(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -130,16 +151,15 @@ def groups(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each near-duplicate group: that of the smallest id; nulls come last, repeated rows count once."""
+    """docs with one document of each near-duplicate group: that of the smallest id; nulls come last. Rows with that id and text
+    count once, and which of them stays is open where their other columns differ. Columns may have any names."""
     grouped = cut(groups(docs))
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    best = grouped.groupBy("component").agg(F.min(rank).alias("best"))
+    best = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("best"))
     keep = best.select(F.col("best.doc_id").alias("k_id"), F.col("best.th").alias("k_th"))
-    names = docs.columns
-    rows = docs.withColumn("k_th", F.xxhash64("text"))
-    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["k_id"]) & (rows["k_th"] == keep["k_th"]), "left_semi")
+    rows = docs.select(F.col("doc_id").alias("r_id"), F.xxhash64("text").alias("r_th"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.join(keep, rows["r_id"].eqNullSafe(keep["k_id"]) & (rows["r_th"] == keep["k_th"]), "left_semi")
     # a component's rows are those of one pair: rows that repeat it count once, whatever other components share the id
-    return kept.dropDuplicates(["doc_id", "k_th"]).select(*names)
+    return kept.dropDuplicates(["r_id", "r_th"]).select("row.*")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Toxicity by a counterfactual-regularised linear classifier over words.
 
 A document's features are its distinct words and their beginnings of 3 to 8 letters, lower-cased, anywhere in the whole
-text. The fit takes FIT_ROWS labelled rows at most (those whose ids have the smallest md5), counts documents and toxic
-documents by feature, keeps the FEATURES that tell most, and minimises logistic loss + ridge + the counterfactual term: in
+text. The fit takes one row of each of FIT_ROWS labelled ids at most (those whose md5 is smallest), counts documents and toxic
+documents by feature, keeps the FEATURES that tell most of those in LEAST_DOCS documents or more (the model's size: bounds of
+the fit, none of what is scored), and minimises logistic loss + ridge + the counterfactual term: in
 labelled sentences that mention an identity term the term is swapped for each other term of its set, and the squared change
 of the score is penalised, by how often the term is mentioned. So a mention alone doesn't move the score.
 
@@ -20,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from affinis.llm.common import cut, held_out, labels_of, slices, table
+from affinis.llm.common import cut, held_out, labels_of, own_name, slices, table
 
 FIT_ROWS, FEATURES, LEAST_DOCS, THRESHOLD, CACHE = 12_000, 1_500, 4, 0.3, 100_000
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -57,12 +59,13 @@ def mentions(text: str | None) -> list[str]:
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
-    """(y, text) of at most `limit` labelled documents that are not held out."""
+    """(doc_id, y, text) of at most `limit` labelled documents that are not held out; of rows with one id the text of least hash."""
     some = (
         labels_of(labels, "toxic").where(~held_out(F.col("doc_id"))).withColumn("h", F.md5(F.col("doc_id").cast("string").cast("binary")))
         .orderBy("h").limit(limit).select(F.col("doc_id").alias("l_id"), "y")
     )
-    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("l_id")).select("doc_id", "y", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("l_id"))
+    return found.groupBy("doc_id").agg(F.first("y").alias("y"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple[dict[str, float], float]:
@@ -171,34 +174,30 @@ class Scorer(dict):
         return float(sum(self.weights[k] for k in self.hits(text)))
 
 
-def score(docs: DataFrame, model: tuple[dict[str, float], float]) -> DataFrame:
-    """docs with all its columns and toxic_score."""
+def score(docs: DataFrame, model: tuple[dict[str, float], float], name: str = "toxic_score") -> DataFrame:
+    """docs with all its columns and the score, under a name that docs does not use."""
     weights, intercept = model
-    schema = docs.schema
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     at = docs.columns.index("text")
 
     def run(batches):
         scorer = Scorer(weights)
         for b in slices(batches):
             s = np.array([scorer.of(t) for t in b.column(at).to_pylist()], dtype=np.float64) + intercept
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30))))], names=[*b.schema.names, "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.clip(s, -30, 30))))], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, f"{kinds}, toxic_score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs, less those whose score reaches the threshold; a column of docs named toxic_score stays as it is."""
-    others = [c for c in docs.columns if c != "toxic_score"]
-    scored = score(docs.select(*others) if len(others) == len(docs.columns) else docs.withColumnRenamed("toxic_score", "toxic_score_"), fit(docs, labels))
-    kept = scored.where(F.col("toxic_score") < threshold).drop("toxic_score")
-    return kept.select(*(F.col("toxic_score_").alias(c) if c == "toxic_score" else F.col(f"`{c}`") for c in docs.columns))
+    """docs, less those whose score reaches the threshold; whatever names its columns have, they stay as they are."""
+    name = own_name("toxic_score", docs.columns)
+    return cut(score(docs, fit(docs, labels), name).where(F.col(name) < threshold).drop(name))
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document's toxicity."""
     docs = table(spark, sf_dir, "documents")
     scored = score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
-    return scored.select(
+    return cut(scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted")
-    )
+    ))

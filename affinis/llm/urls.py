@@ -86,7 +86,7 @@ def reputations(marked: DataFrame, z: float = Z) -> DataFrame:
 
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
-    """(page_id, host, path, rule, verdict, bound) of every page."""
+    """(page_id, host, path, rule, verdict) of every page; the verdict is the rule's, else that of the host's bound."""
     marked = judged(pages, rules)
     method = F.when(F.col("bound") > 0.5, "block").otherwise("allow")
     return marked.join(reputations(marked), "host", "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"))

@@ -1,24 +1,29 @@
-"""Embedding near-duplicates on a robust-pruned flat graph.
+"""Embedding near-duplicates on a robust-pruned flat graph over overlapping cluster shards.
 
-Equal vectors make one class. A bounded sample of classes gives cluster centres (a few Lloyd rounds); every class is at home in
-the shard of its nearest centre a, and each shard builds a pruned proximity graph: of a vertex's nearest candidates one is kept
-only if no kept one is closer to it by the factor ALPHA. Every vector searches its home shard: a greedy beam search from the
-medoids of the shard and of its stretches over the lists, united both ways, and from every hit on a range expansion:
-neighbours of hits, until none is new. What it meets is verified in double precision.
+Equal vectors make one class, named by a row number. TABLES independent clusterings, each with centres from a bounded sample that
+keep twice the link distance apart, make shards of about SHARD classes; where one level of centres is not enough, a second level
+divides their residuals. In each clustering a class is at home in the shard of its nearest centre and joins the next WIDTH - 1
+nearest too, as far as a link can reach there: of two linked vectors with homes a and b, one at least is less than
+d |a - b| / 2 from the bound between both, with d = sqrt(2 - 2 threshold).
 
-A vector also asks every shard b whose centre is at most sqrt((1 - threshold) / 2) |a - b| less similar to it than a is. Of two
-linked vectors with homes a and b, one at least asks the other's home: their distance d is at most sqrt(2 - 2 threshold), and
-what one prefers a and the other b by adds up to at most d |a - b|. There it is compared with every vector at home, as it is no
-vertex of the graph. So no pair is lost between shards; how many shards a vector asks depends on the data, and where
-vectors have no clear nearest centre it is a fixed share of all shards, and the work grows with the square of the input.
+Build: in every shard each class at home gets a list of neighbours: of its nearest candidates one is kept only if no kept one is
+closer to it by the factor ALPHA, all those that can share a link with it, and FAR others, up to DEGREE. Union: the lists of a
+class from all its shards are united by a shuffle on the class. Search: with the united lists, the classes at home in a shard
+search among its members, by a greedy beam search from the medoids of the shard and of its stretches, and from every hit (and the
+class itself) by range expansion: neighbours of hits, until none is new. What it meets is verified in double precision. A pair
+counts in the first clustering in which one is a member of the other's home.
 
-Each shard audits a sample of its vectors against brute force; where a link was missed, its search is repeated with a beam as
-wide as need be. A shard above BLOCK vectors is dealt over blocks with a graph of their own, which every query of the shard
-visits: a hot cluster is never gathered. Pairs are counted and joined where they are found: what leaves a task is the count of
-each vector and a link to the least vector that its pairs there lead to, in any number of steps.
+Audit: inside a shard the number of each class's links is counted by a comparison with all members; a class that has met fewer
+searches again with a wider beam, until none is missed. After it, AUDIT classes are compared with all classes, and where a link was missed all is repeated with WIDTH doubled, up to WIDEST. The recall
+that the last audit measured is a column of the result. The work grows with the input times SHARD times WIDTH.
+
+A shard above BLOCK members is dealt over blocks by hash, with lists of their own; each block's classes visit all others, one
+pair of blocks a task. Pairs are counted and joined where they are found: what leaves a task is the count of each class and a
+link to the least class that its pairs there lead to, in any number of steps.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, or are of another length than most, link with
-nothing and are their own component. Rows with equal ids keep one row each and link like any others.
+nothing and are their own component. Rows with equal or null ids keep one row each and link like any others; a component without
+ids has a null one. No vectors give no rows.
 """
 
 from __future__ import annotations
@@ -30,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import components, cut, table
+from affinis.llm.common import components, cut, numbered, released, table
 
-SHARD, BLOCK, SAMPLE, CENTRES = 4096, 12_000, 20_000, 4096
-DEGREE, CANDIDATES, ALPHA, BEAM, AUDIT, ENTRIES = 24, 48, 1.2, 32, 64, 96
+TABLES, SHARD, WIDTH, WIDEST, BLOCK, SAMPLE, CENTRES = 3, 2048, 3, 12, 8192, 20_000, 1024
+DEGREE, FAR, CANDIDATES, ALPHA, BEAM, AUDIT, ENTRIES = 24, 6, 48, 1.2, 8, 256, 32
 
 
 def valid(vector):
@@ -44,69 +49,121 @@ def valid(vector):
 
 
 def vectors(rows: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>) with v null where it can't be compared."""
-    v = F.col(column).cast("array<double>")
+    """(vec_id, v) with v null where it can't be compared; v keeps its type where that is array<float>, else is array<double>."""
+    v = F.col(column) if rows.schema[column].dataType.simpleString() == "array<float>" else F.col(column).cast("array<double>")
     return rows.select("vec_id", F.when(valid(v), v).alias("v"))
 
 
 def stacked(column) -> np.ndarray:
-    """An Arrow list column of equal lengths as a matrix."""
+    """An Arrow list column of equal lengths as a matrix of doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def centres(distinct: DataFrame, count: int) -> np.ndarray:
-    """Unit centres from a sample of SAMPLE vectors at most: about one for SHARD vectors, by Lloyd rounds."""
-    k = int(min(CENTRES, max(1, round(count / SHARD))))
-    # the sample is bounded by SAMPLE
-    rows = distinct.orderBy(F.xxhash64("v")).limit(min(SAMPLE, 64 * k)).select("v").toArrow()
-    if not rows.num_rows:
-        return np.zeros((1, 1))
-    x = stacked(rows.column("v"))
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def lloyd(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
+    """k centres of x, from rows spread over it."""
     c = x[:: max(1, len(x) // k)][:k].copy()
-    for _ in range(8):
-        near = (x @ c.T).argmax(axis=1)
-        for j in range(len(c)):
-            if (near == j).any():
-                m = x[near == j].mean(axis=0)
-                c[j] = m / max(1e-12, np.linalg.norm(m))
+    for _ in range(rounds):
+        near = (x @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)
+        n = np.bincount(near, minlength=len(c))
+        order = np.argsort(near, kind="stable")
+        some = np.flatnonzero(n)
+        c[some] = np.add.reduceat(x[order], (np.cumsum(n) - n)[some]) / n[some, None]
     return c
 
 
-def graph(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> np.ndarray:
-    """Robust-pruned out-neighbours of each unit vector in x (-1: none), for all vertices at once."""
-    n = len(x)
-    m = min(candidates, n - 1)
-    out = np.full((n, degree), -1, dtype=np.int64)
-    if m <= 0:
+def parted(c: np.ndarray, least: float) -> np.ndarray:
+    """The centres of c, without those nearer than `least` to one kept before."""
+    kept: list[int] = []
+    for j in range(len(c)):
+        if not kept or ((c[kept] - c[j]) ** 2).sum(axis=1).min() >= least * least:
+            kept.append(j)
+    return c[kept]
+
+
+class Shards:
+    """One clustering: a shard is a pair of a centre and a centre of residuals."""
+
+    def __init__(self, sample: np.ndarray, count: int, threshold: float):
+        k = max(1, round(count / SHARD))
+        first = min(k, CENTRES)
+        self.reach = math.sqrt((1 - threshold) / 2)
+        # by direction: where vectors have no clusters, means are short and all near zero
+        self.one = parted(unit(lloyd(sample, first)), 2 * math.sqrt(2 - 2 * threshold))
+        self.two = np.zeros((1, sample.shape[1]))
+        if k > first:
+            near = (sample @ self.one.T - (self.one**2).sum(axis=1) / 2).argmax(axis=1)
+            self.two = lloyd(sample - self.one[near], min(CENTRES, -(-k // first)))
+
+    def near(self, x: np.ndarray, width: int) -> np.ndarray:
+        """(vector, width): the nearest shard of each unit vector, then those it joins, nearest first; -1 for none."""
+        m = min(len(self.one), 2 * width)
+        s = x @ self.one.T - (self.one**2).sum(axis=1) / 2
+        top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        all_ = np.take_along_axis(s, top, 1)[:, :, None] + (x @ self.two.T - (self.two**2).sum(axis=1) / 2)[:, None, :] - (self.one @ self.two.T)[top]
+        all_ = all_.reshape(len(x), -1)
+        w = min(width, all_.shape[1])
+        best = np.argsort(-all_, axis=1, kind="stable")[:, :w] if all_.shape[1] <= 64 else np.take_along_axis(
+            part := np.argpartition(-all_, w - 1, axis=1)[:, :w], np.argsort(-np.take_along_axis(all_, part, 1), axis=1, kind="stable"), 1
+        )
+        score = np.take_along_axis(all_, best, 1)
+        one, two = np.take_along_axis(top, best // len(self.two), 1), best % len(self.two)
+        centre = self.one[one] + self.two[two]
+        apart = np.sqrt(((centre - centre[:, :1]) ** 2).sum(axis=2))
+        out = np.full((len(x), width), -1, dtype=np.int64)
+        # 1e-7 for rounding
+        out[:, :w] = np.where(score[:, :1] - score <= self.reach * apart + 1e-7, one * len(self.two) + two, -1)
         return out
-    for at in range(0, n, 512):
-        own = np.arange(at, min(n, at + 512))
-        sims = x[own] @ x.T
-        sims[np.arange(len(own)), own] = -np.inf
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(1e-300, np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def clusterings(classes: DataFrame, count: int, threshold: float) -> list[Shards]:
+    found = []
+    for t in range(TABLES):
+        # the sample is bounded by SAMPLE
+        rows = classes.orderBy(F.xxhash64("v", F.lit(t)), "k").limit(min(SAMPLE, 64 * max(1, round(count / SHARD)))).select("v").toArrow()
+        found.append(Shards(unit(stacked(rows.column("v"))), count, threshold))
+    return found
+
+
+def graph(x: np.ndarray, own: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Robust-pruned neighbours in x of the vertices `own`, as a list for each."""
+    out = []
+    m = min(CANDIDATES, len(x) - 1)
+    if m <= 0:
+        return [np.zeros(0, dtype=np.int64) for _ in own]
+    shared = 2 - 2 * math.cos(2 * math.acos(threshold))  # a hit's neighbour beyond this squared distance can't be a hit
+    for at in range(0, len(own), 512):
+        some = own[at : at + 512]
+        sims = x[some] @ x.T
+        sims[np.arange(len(some)), some] = -np.inf
         near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
-        order = np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable")
-        near = np.take_along_axis(near, order, 1)
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(sims, near, 1), axis=1, kind="stable"), 1)
         dist = 2 - 2 * np.take_along_axis(sims, near, 1)
-        inner = 2 - 2 * np.einsum("bmd,bkd->bmk", x[near], x[near], optimize=True)
-        alive = np.ones(near.shape, dtype=bool)
-        rows = np.arange(len(own))
-        for d in range(min(degree, m)):
+        inner = 2 - 2 * (x[near] @ x[near].transpose(0, 2, 1))
+        alive, rows = np.ones(near.shape, dtype=bool), np.arange(len(some))
+        far = np.zeros(len(some), dtype=np.int64)
+        lists = np.full((len(some), DEGREE), -1, dtype=np.int64)
+        for d in range(min(DEGREE, m)):
             pick = alive.argmax(axis=1)
-            some = alive[rows, pick]
-            out[own[some], d] = near[rows[some], pick[some]]
-            alive &= ~((alpha * inner[rows, pick] <= dist) & some[:, None])
+            good = alive[rows, pick]
+            if not good.any():
+                break
+            lists[good, d] = near[rows[good], pick[good]]
+            far += good & (dist[rows, pick] > shared)
+            alive &= ~((ALPHA * inner[rows, pick] <= dist) & good[:, None])
             alive[rows, pick] = False
+            alive &= ~((far >= FAR)[:, None] & (dist > shared))
+        out += [l[l >= 0] for l in lists]
     return out
 
 
-def united(lists: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """All edges (from, to) among n vertices, both ways, as offsets and targets."""
-    pairs = [np.stack([np.repeat(np.arange(len(g)), g.shape[1]), g.ravel()]) for g in lists if g.size]
-    e = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), dtype=np.int64)
-    e = e[:, e[1] >= 0]
-    key = np.unique(np.concatenate([e[0] * n + e[1], e[1] * n + e[0]]))
+def both_ways(source: np.ndarray, target: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All edges source-target among n vertices, both ways, as offsets and targets."""
+    key = np.unique(np.concatenate([source * n + target, target * n + source]))
     source, target = key // max(n, 1), key % max(n, 1)
     return np.searchsorted(source, np.arange(n + 1)), target
 
@@ -180,29 +237,6 @@ def search(q: np.ndarray, x: np.ndarray, offsets, targets, start: np.ndarray, th
     return key // n, key % n
 
 
-def asked(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The home shard of each unit vector in x, and a table (vector, shard) of the other shards that it asks."""
-    s = x @ c.T
-    home = s.argmax(axis=1)
-    own, squares = c[home], np.einsum("ij,ij->i", c, c)
-    apart = np.sqrt(np.maximum(0, squares[home, None] + squares - 2 * own @ c.T))
-    # 1e-7 for the rounding of both sides
-    asks = s[np.arange(len(x)), home][:, None] - s <= math.sqrt((1 - threshold) / 2) * apart + 1e-7
-    asks[np.arange(len(x)), home] = False
-    return home, asks
-
-
-def dense(q: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vertex) of all pairs at or above threshold."""
-    s = q @ x.T
-    who, to = np.nonzero(s >= threshold - 1e-9)
-    near = np.flatnonzero(s[who, to] < threshold + 1e-9)
-    # verified as in search, where the product may round otherwise
-    good = np.ones(len(who), dtype=bool)
-    good[near] = np.einsum("ij,ij->i", q[who[near]], x[to[near]]) >= threshold
-    return who[good], to[good]
-
-
 def chained(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after links a-b: the least vertex that can be reached, for labels that are such already."""
     while True:
@@ -216,115 +250,172 @@ def chained(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def links(classes: DataFrame, c: np.ndarray, threshold: float) -> DataFrame:
-    """(k, n, low): for each class the number of vectors of other classes at or above threshold, found in each shard, and a link:
-    the (k, low) of a shard connect whatever its pairs connect."""
+def links(classes: DataFrame, shards: list[Shards], width: int, threshold: float) -> DataFrame:
+    """(k, n, low): for each class the number of vectors of other classes at or above threshold, by tasks, and a link: the (k, low)
+    of a task connect whatever its pairs connect."""
+    number = classes.schema["v"].dataType.simpleString()
 
     def assign(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = stacked(b.column(2))
-            home, asks = asked(x / np.linalg.norm(x, axis=1, keepdims=True), c, threshold)
-            row, shard = np.nonzero(asks)
-            edge = np.append(0, np.cumsum(asks.sum(axis=1)))
-            others = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(shard, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(home.astype(np.int64)), b.column(0), b.column(1), b.column(2), others],
-                names=["home", "k", "weight", "v", "others"],
-            )
-
-    kinds = "home long, k long, weight long, v array<double>, others array<long>"
-    dealt = cut(classes.select("k", "weight", "v").mapInArrow(assign, kinds)).withColumn("shard", F.col("home"))
-    # a row for each shard
-    sizes = {r.shard: r.n for r in dealt.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    blocks = {s: max(1, math.ceil(n / BLOCK)) for s, n in sizes.items()}
-    parts = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for s, n in blocks.items() for x in (s, n))), F.col("shard")), F.lit(1)) if blocks else F.lit(1)
-    own = F.pmod(F.xxhash64("k"), parts)
-    inside = dealt.withColumns({"block": own.cast("long"), "inside": F.lit(True)})
-    no_list = F.array().cast("array<long>")
-    visits = dealt.withColumns({"shard": F.explode(F.concat(F.array("home"), "others")), "others": no_list})
-    asking = visits.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumn("inside", F.lit(False))
-    both = inside.unionByName(asking)
+            if b.num_rows:
+                u = unit(stacked(b.column(2)))
+                near = np.hstack([s.near(u, width) for s in shards]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(near), pa.list_(pa.int32()))], names=["k", "weight", "v", "near"])
+
+    assigned = cut(classes.select("k", "weight", "v").mapInArrow(assign, f"k long, weight long, v {number}, near array<int>"))
+    # a row for each clustering and shard that a class joins
+    visits = F.filter(F.transform("near", lambda s, i: F.struct(F.floor(i / width).cast("int").alias("t"), s.alias("shard"), (i % width == 0).alias("home"))), lambda v: v["shard"] >= 0)
+    joins = assigned.select("k", F.explode(visits).alias("at")).select("k", "at.*")
+    blocks = cut(joins.groupBy("t", "shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+
+    def members(rows: DataFrame) -> DataFrame:
+        each = rows.select("*", F.explode(visits).alias("at")).select(*rows.columns, "at.*")
+        return each.join(blocks, ["t", "shard"]).withColumn("block", F.pmod(F.xxhash64("k"), "blocks").cast("int"))
+
+    def build(rows):
+        k, home = rows.column("k").to_numpy(), rows.column("home").to_numpy(zero_copy_only=False)
+        own = np.flatnonzero(home)
+        if not len(own):
+            return pa.table({"k": pa.array([], pa.int64()), "list": pa.array([], pa.list_(pa.int64()))})
+        near = graph(unit(stacked(rows.column("v"))), own, threshold)
+        return pa.table({"k": pa.array(k[own]), "list": pa.array([k[x] for x in near], pa.list_(pa.int64()))})
+
+    lists = (
+        members(assigned).select("t", "shard", "block", "k", "v", "home").groupBy("t", "shard", "block").applyInArrow(build, "k long, list array<long>")
+        .groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("list"))).alias("list"))
+    )  # TABLES * DEGREE neighbours at most for each block that a class is in
+    listed = cut(assigned.join(lists, "k", "left"))
+    released(classes.sparkSession)
+    every = members(listed)
+    inside = every.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("asker"), F.lit(True).alias("member"))
+    other = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))
+    asking = (
+        every.where("home AND blocks > 1").withColumn("list", F.lit(None).cast("array<long>"))
+        .select(*(F.col(c) for c in every.columns if c != "block"), F.col("block").alias("asker"), F.explode(other).alias("block"), F.lit(False).alias("member"))
+    )
+    columns = ["t", "shard", "block", "asker", "member", "home", "k", "weight", "v", "near", "list"]
 
     def run(rows):
-        shard, home, k, weight, member = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("shard", "home", "k", "weight", "inside"))
-        v = stacked(rows.column("v"))
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        guest = ~member & (home != shard)
-        asking = ~member & ~guest
-        x, xk, xw = v[member], k[member], weight[member]
-        q, qk = v[asking], k[asking]
-        if not len(x):
-            return pa.table({"k": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "low": pa.array([], pa.int64())})
-        offsets, targets = united([graph(x)], len(x))
+        t, shard = rows.column("t")[0].as_py(), rows.column("shard")[0].as_py()
+        member, home, k, weight = (rows.column(n).to_numpy(zero_copy_only=False) for n in ("member", "home", "k", "weight"))
+        near = np.stack(rows.column("near").to_pylist())
+        v = unit(stacked(rows.column("v")))
+        x, xk, xw, xnear = v[member], k[member], weight[member], near[member]
+        asks = ~member if (~member).any() else home & (rows.column("asker")[0].as_py() == rows.column("block")[0].as_py())
+        q, qk, qw, qnear = v[asks], k[asks], weight[asks], near[asks]
+        empty = pa.table({c: pa.array([], pa.int64()) for c in ("k", "n", "low")})
+        if not len(x) or not len(q):
+            return empty
+        by = np.argsort(xk)
+        sorted_k = xk[by]
+
+        def places(ids):
+            """Where classes are among the members, -1 for none."""
+            at = np.minimum(np.searchsorted(sorted_k, ids), len(by) - 1)
+            return np.where(sorted_k[at] == ids, by[at], -1)
+
+        own_lists = rows.column("list").combine_chunks().filter(pa.array(member))
+        size = own_lists.value_lengths().fill_null(0).to_numpy()
+        source, target = np.repeat(np.arange(len(x)), size), places(own_lists.flatten().to_numpy(zero_copy_only=False))
+        offsets, targets = both_ways(source[target >= 0], target[target >= 0], len(x))
         # the medoid of the shard and of each of its stretches
         cuts = np.linspace(0, len(x), min(ENTRIES, len(x)) + 1).astype(int)
         medoids = np.unique([int((x @ x.mean(axis=0)).argmax()), *(a + int((x[a:b] @ x[a:b].mean(axis=0)).argmax()) for a, b in zip(cuts, cuts[1:]))])
-        by = np.argsort(xk)
-        at_own = by[np.minimum(np.searchsorted(xk[by], qk), len(xk) - 1)]
-        is_own = xk[at_own] == qk
+        at_own = places(qk)
 
         def ask(which, least, beam):
-            own = np.flatnonzero(is_own[which])
+            own = np.flatnonzero(at_own[which] >= 0)
             return search(q[which], x, offsets, targets, medoids, least, beam, (own, at_own[which][own]))
 
-        beam = BEAM
-        tried = np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int)
-        truth = int((q[tried] @ x.T >= threshold + 1e-12).sum() - is_own[tried].sum())
-        while True:
-            who, to = ask(tried, threshold + 1e-12, beam)
-            met = int((xk[to] != qk[tried][who]).sum())
-            if met >= truth or beam >= len(x):
-                break
-            beam *= 2
-        # vertices by id: the least label is the least id
-        ids = np.unique(k)
+        def met(which):
+            """(query, member) of all links: those that have fewer than a comparison with all members counts search again, with a
+            beam twice as wide."""
+            truth = (q[which] @ x.T >= threshold + 1e-12).sum(axis=1) - (at_own[which] >= 0)
+            beam, open_, found = BEAM, np.arange(len(which)), []
+            while True:
+                who, to = ask(which[open_], threshold - 1e-9, beam)
+                who = which[open_[who]]
+                # verified: the cosine itself
+                good = (np.einsum("ij,ij->i", q[who], x[to]) >= threshold) & (qk[who] != xk[to])
+                who, to = who[good], to[good]
+                n = np.bincount(who - which[0], minlength=len(which))
+                short = open_[n[open_] < truth[open_]] if beam < len(x) else open_[:0]
+                done = ~np.isin(who, which[short])
+                found.append(np.stack([who[done], to[done]]))
+                if not len(short):
+                    return np.concatenate(found, axis=1)
+                open_, beam = short, 2 * beam
+
+        ids = np.unique(np.concatenate([xk, qk]))
         qi, xi = np.searchsorted(ids, qk), np.searchsorted(ids, xk)
         n, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+
+        def joined(who, to, c):
+            """Whether each pair meets in clustering c: by the query's home, by the other's home."""
+            a, b = qnear[who, c * width : (c + 1) * width], xnear[to, c * width : (c + 1) * width]
+            return (b == a[:, :1]).any(axis=1), (a == b[:, :1]).any(axis=1)
+
         step = max(16, min(512, 8_000_000 // len(x)))
         for at in range(0, len(q), step):
-            who, to = ask(np.arange(at, min(len(q), at + step)), threshold - 1e-9, beam)
-            # verified: the cosine itself
-            good = (np.einsum("ij,ij->i", q[at + who], x[to]) >= threshold) & (qk[at + who] != xk[to])
-            who, to = who[good], to[good]
-            n += np.bincount(qi[at + who], weights=xw[to], minlength=len(ids)).astype(np.int64)
-            label = chained(label, qi[at + who], xi[to])
-        # a pair of two homes counts here for both, unless the member asks the guest's home too, of lower number
-        others = rows.column("others").combine_chunks().filter(pa.array(member))
-        far, size = others.flatten().to_numpy(zero_copy_only=False), others.value_lengths().to_numpy(zero_copy_only=False)
-        span = int(max(home.max(), far.max(initial=0))) + 1
-        there = np.repeat(np.arange(len(x)), size) * span + far
-        g, gk, gw, gh, gi = v[guest], k[guest], weight[guest], home[guest], np.searchsorted(ids, k[guest])
-        for at in range(0, len(g), step):
-            who, to = dense(g[at : at + step], x, threshold)
-            who = at + who
-            good = (gk[who] != xk[to]) & ((gh[who] > shard[0]) | ~np.isin(to * span + gh[who], there))
-            who, to = who[good], to[good]
-            n += np.bincount(gi[who], weights=xw[to], minlength=len(ids)).astype(np.int64) + np.bincount(xi[to], weights=gw[who], minlength=len(ids)).astype(np.int64)
-            label = chained(label, gi[who], xi[to])
+            who, to = met(np.arange(at, min(len(q), at + step)))
+            label = chained(label, qi[who], xi[to])
+            for c in range(t):
+                new = ~np.logical_or(*joined(who, to, c))
+                who, to = who[new], to[new]
+            n += np.bincount(qi[who], weights=xw[to], minlength=len(ids)).astype(np.int64)
+            # a member that is at home elsewhere finds the pair there, if the query is a member there
+            single = ~joined(who, to, t)[1]
+            n += np.bincount(xi[to[single]], weights=qw[who[single]], minlength=len(ids)).astype(np.int64)
         some = np.flatnonzero((n > 0) | (label != np.arange(len(ids))))
         return pa.table({"k": pa.array(ids[some], pa.int64()), "n": pa.array(n[some], pa.int64()), "low": pa.array(ids[label[some]], pa.int64())})
 
-    return both.groupBy("shard", "block").applyInArrow(run, "k long, n long, low long")
+    return inside.select(*columns).unionByName(asking.select(*columns)).groupBy("t", "shard", "block", "asker").applyInArrow(run, "k long, n long, low long")
+
+
+def audited(classes: DataFrame, counts: DataFrame, threshold: float) -> float:
+    """The recall of counts (k, n) for AUDIT classes, by comparison with all classes."""
+    sample = classes.orderBy(F.md5(F.col("k").cast("string").cast("binary")), "k").limit(AUDIT).toArrow()
+    if not sample.num_rows:
+        return 1.0
+    q, own = unit(stacked(sample.column("v"))), sample.column("k").to_numpy()
+
+    def compared(batches):
+        total = np.zeros(len(q), dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                near = (q @ unit(stacked(b.column(2))).T >= threshold + 1e-9) & (own[:, None] != b.column(0).to_numpy()[None])
+                total += near @ b.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total)], names=["k", "true"])
+
+    true = classes.select("k", "weight", "v").mapInArrow(compared, "k long, true long").groupBy("k").agg(F.sum("true").alias("true"))
+    both = true.join(counts.groupBy("k").agg(F.sum("n").alias("n")), "k", "left").agg(F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("met")).first()
+    return both.met / both.true if both.true else 1.0
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.95, column: str = "embedding") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every vector."""
-    named = cut(vectors(rows, column).withColumn("d", F.size("v")))
+    """(vec_id, n_links, component_id, kept, audit_recall) of every vector."""
+    named = cut(numbered(vectors(rows, column).withColumn("d", F.size("v")), "row"))
     size = named.where("v IS NOT NULL").groupBy("d").count().orderBy(F.desc("count"), "d").first()
-    usable = F.col("v").isNotNull() & (F.col("d") == (size.d if size else -1))
-    # directions, not vectors, make a class: multiples have cosine 1, but are left to the search; only equal vectors merge here
-    classes = cut(named.where(usable & F.col("vec_id").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("k"), F.count("*").alias("weight")))
-    counts = cut(links(classes, centres(classes, classes.count()), threshold))
-    per = counts.groupBy("k").agg(F.sum("n").alias("n"))
-    found = components(counts.select(F.col("k").alias("a"), F.col("low").alias("b")))
-    of = classes.join(per, "k", "left").join(found.withColumnRenamed("node", "k"), "k", "left").select(
-        "v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "k").alias("component_id")
-    )
-    good = named.where(usable & F.col("vec_id").isNotNull()).join(of, "v").select("vec_id", "n_links", "component_id")
-    rest = named.where(~F.coalesce(usable & F.col("vec_id").isNotNull(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    usable = F.coalesce(F.col("d") == (size.d if size else -1), F.lit(False)) & F.col("v").isNotNull()
+    # multiples have cosine 1 too, but are left to the search; only equal vectors merge here
+    classes = cut(named.where(usable).groupBy("v").agg(F.min("row").alias("k"), F.count("*").alias("weight"), F.min("vec_id").alias("first")))
+    count, width, recall = classes.count(), WIDTH, 1.0
+    counts = None
+    while count:
+        counts = cut(links(classes, clusterings(classes, count, threshold), width, threshold))
+        recall = audited(classes, counts, threshold)
+        if recall >= 1 or width >= WIDEST:
+            break
+        width *= 2
+    rest = named.where(~usable).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    if counts is not None:
+        per = counts.groupBy("k").agg(F.sum("n").alias("n"))
+        found = components(counts.select(F.col("k").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("k"), "component")
+        linked = classes.join(per, "k", "left").join(found, "k", "left").withColumn("component", F.coalesce("component", "k"))
+        least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
+        of = linked.join(least, "component").select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
+        rest = named.where(usable).join(of, "v").select("vec_id", "n_links", "component_id").unionByName(rest)
+    return rest.withColumns({"kept": F.col("vec_id").eqNullSafe(F.col("component_id")), "audit_recall": F.lit(float(recall))})
 
 
 def op1_embedding_links(spark, sf_dir: str) -> DataFrame:

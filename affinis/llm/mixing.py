@@ -1,14 +1,17 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 Words are the tokens. The words of a source, document after document in a pseudorandom but fixed order, are packed into blocks
-of a fixed number of words (a source's last block may be shorter). Each source gets as many slots as bring its target; slots
-draw one of the output shards each, so a shard's counts of sources are multinomial given those totals. Slot number j of a
-source with n blocks stands for block p(j mod n) of pass j div n, where p is a pseudorandom permutation of the source's block
-numbers (a swap-or-not network, a permutation for every n); slots and documents then meet by block number.
+of a fixed number of words (a source's last block may be shorter). The mix has as many slots as bring all targets, dealt over
+output shards of SLOTS slots. Each slot of a shard draws its source by the targets' shares, in a stratified multinomial draw: slot i of n
+draws from the i-th of n equal stretches of the shares, which leaves a shard's count of a source random but less than two slots
+from its expectation. The slots that a source drew are numbered shard after shard. Number j of a source with n blocks
+stands for block p(j mod n) of pass j div n, where p is a pseudorandom permutation of the source's block numbers (a swap-or-not
+network, a permutation for every n); slots and documents then meet by block number.
 
 Sources in code point order, null last, weigh 3, 1, 2, 3, 1, 2, ... and share 150 % of all words; no target exceeds twice its
-source's words: what would exceed it is reshared by weight among the others. So no block is taken more than twice, and no
-document either. Null and empty texts have size 0 and are taken 0 times; repeated rows count each; reruns agree.
+source's words: what would exceed it is reshared by weight among the others. Slots that a source draws beyond twice its blocks stay
+empty, so no block is taken more than twice, and no document either. Null and empty texts have size 0 and are taken 0 times;
+repeated rows count each; reruns agree. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from affinis.llm.common import WORD, cut, partitions, table
 
-BLOCK, ROUNDS, SLOTS = 64, 6, 4096
+BLOCK, ROUNDS, SLOTS, CELLS, SMALL = 64, 6, 16_384, 4096, 50_000
 WEIGHTS = (3.0, 1.0, 2.0)
 
 
@@ -27,7 +30,8 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"), F.xxhash64("text").alias("th"),
+        F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary")).alias("h"),
+        F.xxhash64("text").alias("th"),
     )
 
 
@@ -53,9 +57,9 @@ def targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, block: int
     )
 
 
-def hex_number(text):
-    """The first eight hexadecimal digits of md5 of text, as a number."""
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+def hex_number(text, digits: int = 8):
+    """The first hexadecimal digits of md5 of text, as a number."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
 def permuted(slots: DataFrame) -> DataFrame:
@@ -70,18 +74,35 @@ def permuted(slots: DataFrame) -> DataFrame:
     return slots.withColumn("block", F.aggregate("mirrors", F.col("slot") % n, swap))
 
 
+def sided(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has few rows; they are counted."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
 def mixture(plan: DataFrame, shard_slots: int = SLOTS) -> DataFrame:
-    """(shard, skey, slot, block): every slot of the mix, the output shard that it fell to, and the block that fills it."""
-    total = Window.partitionBy()
-    runs = plan.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("slots").over(total) / shard_slots))).where("slots > 0")
-    runs = runs.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOTS)))).repartition(partitions(plan.sparkSession), "skey", "run")
-    one = runs.withColumn("slot", F.explode(F.sequence(F.col("run") * SLOTS, F.least((F.col("run") + 1) * SLOTS, "slots") - 1)))
-    shard = F.pmod(hex_number(F.concat_ws("/", "skey", "slot")), F.col("shards"))
-    return permuted(one.select("skey", "slot", "blocks", "mirrors", shard.alias("shard"))).select("shard", "skey", "slot", "block")
+    """(shard, skey, slot, block): every filled slot of the mix, the output shard that drew it, and the block that fills it."""
+    spark = plan.sparkSession
+    sources, total = plan.agg(F.count("*"), F.coalesce(F.sum("slots"), F.lit(0))).first()
+    after = F.sum("slots").over(Window.orderBy("skey").rowsBetween(Window.unboundedPreceding, 0))
+    ends = cut(plan.where("slots > 0").withColumn("end", after).select("skey", "blocks", "mirrors", (F.col("end") - F.col("slots")).alias("begin"), "end"))
+    cell = lambda x: F.floor(x * F.lit(CELLS) / F.lit(max(1, total))).cast("long")
+    ranges = ends.select("skey", "begin", "end", F.explode(F.sequence(cell(F.col("begin")), cell(F.col("end") - 1))).alias("cell"))
+    slots = spark.range(0, total, 1, max(partitions(spark), total // 1_000_000)).select(F.col("id").alias("at"), F.floor(F.col("id") / shard_slots).alias("shard"))
+    size = F.least(F.lit(shard_slots), F.lit(total) - F.col("shard") * shard_slots).cast("double")
+    part = (F.col("at") - F.col("shard") * shard_slots).cast("double") + hex_number(F.concat_ws("/", "shard", "at")).cast("double") / F.lit(float(1 << 32))
+    drawn = slots.withColumn("u", F.least(F.floor(part / size * F.lit(float(total))).cast("long"), F.lit(total - 1))).withColumn("cell", cell(F.col("u")))
+    drawn = drawn.join(sided(ranges, sources + CELLS), "cell").where("begin <= u AND u < end").select("shard", "skey", "at")
+    counts = drawn.groupBy("skey", "shard").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("skey").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("skey", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("skey", "shard").orderBy("at")
+    numbered = drawn.withColumn("place", F.row_number().over(within) - 1).join(bases, ["skey", "shard"])
+    taken = numbered.select("shard", "skey", (F.col("base") + F.col("place")).alias("slot")).join(sided(ends.select("skey", "blocks", "mirrors"), sources), "skey")
+    return permuted(taken.where(F.col("slot") < 2 * F.col("blocks"))).select("shard", "skey", "slot", "block")
 
 
 def placed(sized: DataFrame, plan: DataFrame, block: int = BLOCK) -> DataFrame:
-    """sized with start, the words of its source before it. Order: h, doc_id, size; cut into chunks by the leading digits of h,
+    """sized with start, the words of its source before it. Order: h, doc_id, size, th; cut into chunks by the leading digits of h,
     whose totals are summed first, so that no source's rows meet in one task; source_size and target come along."""
     chunks = max(1, min(1 << 20, sized.count() // 4000))
     sized = sized.withColumn("chunk", F.floor(F.conv(F.substring("h", 1, 5), 16, 10).cast("long") * chunks / (1 << 20)))
@@ -89,7 +110,7 @@ def placed(sized: DataFrame, plan: DataFrame, block: int = BLOCK) -> DataFrame:
     bases = sized.groupBy("skey", "chunk").agg(F.sum("size").alias("n")).select(
         "skey", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")
     )
-    within = Window.partitionBy("skey", "chunk").orderBy("h", "doc_id", "size")
+    within = Window.partitionBy("skey", "chunk").orderBy("h", "doc_id", "size", "th")
     start = F.col("base") + F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = bases.join(plan.select("skey", "source_size", "target"), "skey")
     rows = sized.join(bases, ["skey", "chunk"]).withColumn("start", start).withColumn("row", F.row_number().over(within))
@@ -134,7 +155,9 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         .withColumn("ranges", F.filter("ranges", lambda r: r["times"] >= F.col("pass")))
     )
     whole = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r["n"]) == F.col("size")
-    rows = docs.withColumns({"th": F.xxhash64("text"), "skey": F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))}).select(F.struct(*docs.columns).alias("row"), "doc_id", "th", "skey")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("skey")
+    )
     rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*which).orderBy("th")))
     keys = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in which] + [F.col("a.copy") == F.col("b.copy")]
     both = rows.alias("a").join(taken.select(*which, "copy", "ranges", whole.alias("whole")).alias("b"), keys[0] & keys[1] & keys[2] & keys[3])
@@ -146,7 +169,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         ).alias("text"),
     )
     out = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {})
-    return spelt.select(*(out[c].alias(c) if c in out else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return spelt.select(*(out[c].alias(c) if c in out else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -155,7 +178,7 @@ def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    hexes = lambda text: f"CAST(concat('0x', substr(md5({text}), 1, 8)) AS BIGINT)"
+    hexes = lambda text, digits=8: f"CAST(concat('0x', substr(md5({text}), 1, {digits})) AS BIGINT)"
     x = "SELECT skey, slot, blocks, slot % blocks AS x FROM slots"
     for r in range(ROUNDS):
         x = (
@@ -165,14 +188,19 @@ def _oracle() -> str:
     return rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    coalesce('=' || source, '') AS skey, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    coalesce('=' || source, '') AS skey, md5(concat(coalesce(doc_id::VARCHAR, ''), ':', md5(coalesce(text, '')))) AS h FROM documents),
 per AS (SELECT skey, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM sized GROUP BY skey),
 capped AS (SELECT *, source_size * 2.0::DOUBLE AS cap, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS weight FROM per),
 levels AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, skey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, skey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM capped),
 plan AS (SELECT skey, source_size, CASE WHEN cap <= weight * level THEN cap ELSE weight * (SELECT level FROM levels WHERE cap > weight * level ORDER BY cap / weight, skey LIMIT 1) END AS target,
     ceil(source_size / {BLOCK})::BIGINT AS blocks FROM levels),
-slots AS (SELECT skey, blocks, unnest(range(least(round(target * blocks / source_size)::BIGINT, 2 * blocks))) AS slot FROM plan WHERE source_size > 0),
+ends AS (SELECT skey, blocks, n, sum(n) OVER (ORDER BY skey) AS end_ FROM (SELECT skey, blocks, least(round(target * blocks / source_size)::BIGINT, 2 * blocks) AS n FROM plan WHERE source_size > 0) WHERE n > 0),
+total AS (SELECT sum(n)::BIGINT AS total FROM ends),
+chances AS (SELECT i, total, (i - i // {SLOTS} * {SLOTS})::DOUBLE + {hexes(f"concat(i // {SLOTS}, '/', i)")}::DOUBLE / 4294967296.0::DOUBLE AS part, least({SLOTS}, total - i // {SLOTS} * {SLOTS})::DOUBLE AS size
+  FROM (SELECT unnest(range((SELECT total FROM total))) AS i), total),
+draws AS (SELECT i AS i, least(floor(part / size * total::DOUBLE)::BIGINT, total - 1) AS u FROM chances),
+slots AS (SELECT skey, blocks, slot FROM (SELECT skey, blocks, row_number() OVER (PARTITION BY skey ORDER BY i) - 1 AS slot FROM draws JOIN ends ON u >= end_ - n AND u < end_) WHERE slot < 2 * blocks),
 picks AS (SELECT skey, x AS block, count(*) AS times FROM ({x}) GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (ORDER BY skey, h, doc_id, size) AS row,
     (sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS start FROM sized),

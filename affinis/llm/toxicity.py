@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from affinis.llm.common import cut, held_out, labels_of, own_name, slices, table
+from affinis.llm.common import cut, held_out, labels_of, own_name, slices, small_batches, table
 
 FIT_ROWS, FEATURES, LEAST_DOCS, THRESHOLD, CACHE = 12_000, 1_500, 4, 0.3, 100_000
 WORDS = re.compile(r"[^\W\d_]+").findall
@@ -70,6 +70,11 @@ def fit_rows(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> tuple[dict[str, float], float]:
     """(weight by feature, intercept)."""
+    with small_batches(docs.sparkSession):
+        return fitted(docs, labels, limit)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[dict[str, float], float]:
     rows = cut(fit_rows(docs, labels, limit).select("y", "text"))
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     if not total or toxic in (0, total):

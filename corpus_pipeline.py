@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinis.llm.common import shared_dir, table
+from affinis.llm.common import removed, shared_dir, table
 from affinis.llm.mixing import mixed_documents
 from affinis.llm.packing import pack, pieces
 from affinis.llm.simhash import keep_one
@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents and their places in sequences of 1024 tokens."""
-    return pack(pieces(docs))
+    """Pieces of documents with their token ids, and their places in sequences of 1024 tokens."""
+    return pack(pieces(docs, with_ids=True))
 
 
 STAGES = [
@@ -46,14 +46,19 @@ STAGES = [
     ("mixing", mix),
     ("packing", pack_sequences),
 ]
-ORACLE_SQL = None  # the classifier and the tokenizer are beyond SQL; tests hold the stages against brute force
+ORACLE_SQL = None  # the classifier and the tokenizer are beyond SQL; tests run the stages, and hold their operators against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for all documents."""
     docs = table(spark, sf_dir, "documents")
     home = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{home}/{k}-{name}")
-        docs = spark.read.parquet(f"{home}/{k}-{name}")
+        path = f"{home}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if last:
+            removed(spark, last)
+        last = path
     return docs

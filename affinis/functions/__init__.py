@@ -45,3 +45,7 @@ def hashes(x, a_range: range, b_range: range, modulus, prime: int = PRIME):
 def trailing_zeros(x):
     """Of a number's binary digits; 1 for 0, which has the single digit 0."""
     return F.when(x == 0, 1).otherwise(F.bit_count(x.bitwiseAND(-x) - 1))
+
+
+def to_second(ts):
+    return F.date_trunc("second", ts)

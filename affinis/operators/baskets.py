@@ -42,6 +42,57 @@ def frequent(pair_rows: DataFrame, support: int, size: int) -> list[DataFrame]:
     return levels
 
 
+def local_itemsets(sets: list[list], least: int, size: int) -> list[tuple]:
+    """All itemsets of up to `size` items in at least `least` of these baskets, level by level: a set goes on with larger items of the
+    baskets that hold it."""
+    where: dict = {}
+    for n, items in enumerate(sets):
+        for i in set(items):
+            where.setdefault((i,), set()).add(n)
+    now = {s: w for s, w in where.items() if len(w) >= least}
+    singles, found = sorted(s[0] for s in now), []
+    for n in range(1, size + 1):
+        found += sorted(now)
+        if n < size:
+            grown = ((s + (i,), w & where[(i,)]) for s, w in now.items() for i in singles if i > s[-1])
+            now = {s: w for s, w in grown if len(w) >= least}
+    return found
+
+
+def son_candidates(basket_rows: DataFrame, support: int, size: int, at_once: int = 2_000) -> DataFrame:
+    """(items): the itemsets that are frequent in a part of the baskets (items array), at the part's share of the support. A part is
+    at_once baskets of one partition, so that its memory is bounded. Which sets come depends on the parts; no frequent one is missing."""
+    total = basket_rows.count()
+    kind = basket_rows.schema["items"].dataType.simpleString()
+
+    def mine(pdfs):
+        import pandas as pd
+
+        for pdf in pdfs:
+            for at in range(0, len(pdf), at_once):
+                part = [list(x) for x in pdf["items"][at : at + at_once]]
+                yield pd.DataFrame({"items": [list(s) for s in local_itemsets(part, max(1, -(-support * len(part) // total)), size)]})
+
+    return basket_rows.select("items").mapInPandas(mine, f"items {kind}").distinct()
+
+
+def containment_counts(candidates: DataFrame, basket_rows: DataFrame) -> DataFrame:
+    """(items, freq): how many baskets (key, items) hold each candidate set (items). Sets meet baskets by one of their items, the one
+    in fewest baskets, so that no pair without a common item is looked at."""
+    inside = basket_rows.select(F.col("items").alias("basket"), F.explode("items").alias("rarest"))
+    often = inside.groupBy("rarest").agg(F.count("*").alias("n"))
+    each = candidates.select("items", F.explode("items").alias("rarest")).join(often, "rarest")
+    least = each.groupBy("items").agg(F.min(F.struct("n", "rarest")).alias("m")).select("items", F.col("m.rarest").alias("rarest"))
+    held = least.join(inside, "rarest").where(F.size(F.array_except("items", "basket")) == 0)
+    return held.groupBy("items").agg(F.count("*").alias("freq"))
+
+
+def son(basket_rows: DataFrame, support: int, size: int) -> DataFrame:
+    """(size, items as text, freq): itemsets of up to `size` items in at least `support` baskets, mined part by part, then counted."""
+    counted = containment_counts(son_candidates(basket_rows, support, size), basket_rows).where(F.col("freq") >= support)
+    return counted.select(F.size("items").cast("long").alias("size"), F.array_join(F.transform("items", lambda i: i.cast("string")), ",").alias("items"), "freq")
+
+
 def itemsets(levels: list[DataFrame]) -> DataFrame:
     """(size, items as text, freq) of all levels."""
     shaped = [
@@ -52,7 +103,7 @@ def itemsets(levels: list[DataFrame]) -> DataFrame:
 
 
 def fp_growth(basket_rows: DataFrame, support: int) -> DataFrame:
-    """The same itemsets by FP-growth, any size."""
+    """The same itemsets by FP-growth, of any size."""
     from pyspark.ml.fpm import FPGrowth
 
     n = basket_rows.count()

@@ -35,17 +35,23 @@ def kmeans(points: DataFrame, centres: DataFrame, rounds: int) -> DataFrame:
     return assign(points, centres).select("id", "cluster")
 
 
-def farthest_first(points: DataFrame, k: int) -> DataFrame:
-    """(cluster, centre): k seeds; the point of least id, then again and again the point farthest from all seeds, ties to the least id."""
+def farthest_first(points: DataFrame, k: int, rows: int = 20_000) -> DataFrame:
+    """(cluster, centre): k seeds from a sample of at most so many points (all, if there are fewer): its point of least id, then again
+    and again the point farthest from all seeds, ties to the least id; fewer seeds where no other point is left."""
     spark, schema = points.sparkSession, "cluster long, centre array<double>"
-    first = points.orderBy("id").first()
-    seeds = [first.vec] if first else []
-    while first and len(seeds) < k:
-        far = assign(points, spark.createDataFrame(list(enumerate(seeds)), schema)).orderBy(F.desc("dist"), "id").first()
-        if far.dist == 0:
+    # the sample is bounded by rows
+    sample = sorted(points.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(rows).collect(), key=lambda r: r.id)
+    if not sample:
+        return spark.createDataFrame([], schema)
+    x = np.array([r.vec for r in sample])
+    seeds, away = [0], np.full(len(x), np.inf)
+    while len(seeds) < k:
+        away = np.minimum(away, np.round(np.sqrt(((x - x[seeds[-1]]) ** 2).sum(axis=1)), 9))
+        far = int(away.argmax())
+        if away[far] == 0:
             break
-        seeds.append(far.vec)
-    return spark.createDataFrame(list(enumerate(seeds)), schema)
+        seeds.append(far)
+    return spark.createDataFrame([(j, x[n].tolist()) for j, n in enumerate(seeds)], schema)
 
 
 def statistics(assigned: DataFrame) -> DataFrame:
@@ -72,6 +78,13 @@ def merged(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def trim(points: DataFrame, groups: DataFrame, share: float = 1e-4) -> DataFrame:
+    """points without those whose cluster in groups (id, cluster) has fewer than that share of all points."""
+    least = points.count() * share
+    large = groups.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cluster")
+    return points.join(groups.join(large, "cluster", "left_semi").select("id"), "id", "left_semi")
+
+
 def unite(sets: list[tuple], limit: float) -> list[tuple]:
     """Statistics (cluster, n, total, squares) where, time after time, the set nearest to another is added to it, if below limit.
 
@@ -98,10 +111,18 @@ def unite(sets: list[tuple], limit: float) -> list[tuple]:
     return [(int(c), int(n), t.tolist(), q.tolist()) for c, n, t, q in sets]
 
 
+def bfr_folder(spark, path: str, k: int, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """bfr over a folder of point files, a round for each, in the order of their names."""
+    from affinis.sources import points
+
+    return bfr(points(spark, path), "file", k, rounds)
+
+
 def bfr(points: DataFrame, chunk: str, k: int, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
     """((id, cluster), round report) of BFR over the chunks in their order.
 
-    The first chunk is clustered into 3 k groups: the k largest are the discard sets, others with over one
+    The first chunk is clustered into 5 k groups in one round, and groups below a ten-thousandth of its points are set aside as
+    retained; what is left is clustered into 3 k groups: the k largest are the discard sets, others with over one
     point compression sets, single points are retained. A later chunk's points go to the nearest discard set below 2 sqrt(d), else to
     the nearest compression set below 3 sqrt(d), else are retained. In every later round all retained points are then clustered into
     3 k groups again, and those with over one point become compression sets. Every round ends with compression sets within
@@ -113,12 +134,13 @@ def bfr(points: DataFrame, chunk: str, k: int, rounds: int = 5) -> tuple[DataFra
     dims = len(points.first().vec)
     limit = math.sqrt(dims)
     first = points.where(F.col(chunk) == F.lit(chunks[0])).select("id", "vec")
-    groups = kmeans(first, farthest_first(first, 3 * k), rounds).persist()
+    core = trim(first, kmeans(first, farthest_first(first, 5 * k), 1)).persist()
+    groups = kmeans(core, farthest_first(core, 3 * k), rounds).persist()
     sized = groups.groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster").collect()
     ds = {r.cluster: j for j, r in enumerate(sized[:k])}
     cs = {r.cluster: 10_000 + j for j, r in enumerate(r for r in sized[k:] if r.n > 1)}
     lookup = spark.createDataFrame([(int(a), int(b)) for a, b in {**ds, **cs}.items()], "old long, cluster long")
-    own = first.join(groups.withColumnRenamed("cluster", "old"), "id").join(F.broadcast(lookup), "old", "left").select("id", "vec", "cluster").persist()
+    own = first.join(groups.withColumnRenamed("cluster", "old"), "id", "left").join(F.broadcast(lookup), "old", "left").select("id", "vec", "cluster").persist()
     sums = "cluster long, n long, total array<double>, squares array<double>"
     number_of = 10_000 + len(cs)
 

@@ -7,9 +7,11 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinis.checkpoints import cut
 from affinis.operators.similarity import pair_counts
 
 SMALL = 5_000  # edges of a graph that may go to one task
+SHIPPED = 200_000  # edges of a graph that may go to every task
 
 
 def cooccurrence(pair_rows: DataFrame, least: int) -> DataFrame:
@@ -27,36 +29,41 @@ def vertices(edges: DataFrame) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, label) after synchronous rounds; the most frequent label among neighbours wins, ties to the smallest."""
-    arcs = directed(edges).persist()
-    labels = vertices(edges).select("id", F.col("id").alias("label"))
+    arcs = cut(directed(edges))
+    labels = arcs.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id"))
     for _ in range(rounds):
         votes = arcs.join(labels, F.col("u") == F.col("id")).groupBy(F.col("v").alias("id"), "label").agg(F.count("*").alias("n"))
-        labels = votes.groupBy("id").agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("best")).select("id", (-F.col("best.neg")).alias("label"))
+        labels = cut(votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best")).select("id", F.col("best.label").alias("label")))
     return labels
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(id, component): the smallest vertex that can be reached. Raises if that has not settled in max_rounds."""
-    arcs = directed(edges).persist()
-    labels = vertices(edges).select("id", F.col("id").alias("component"))
-    spark = edges.sparkSession
-    for _ in range(max_rounds):
-        near = arcs.join(labels, F.col("u") == F.col("id")).groupBy(F.col("v").alias("id")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "id", "left").select("id", F.least("component", F.coalesce("m", "component")).alias("now"), "component")
-        step = step.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else step.persist()
-        changed = step.where("now <> component").limit(1).count()
-        labels = step.select("id", F.col("now").alias("component"))
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
-    return labels
+def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(id, component): the smallest vertex that can be reached, by rounds of large and small stars.
 
-
-def betweenness(adjacent: dict) -> dict:
-    """Edge betweenness of an undirected graph given as neighbour sets, by shortest-path counts from every vertex."""
+    In a large-star round each vertex points its larger neighbours at the smallest vertex around it, in a small-star round itself
+    and its smaller ones; the rounds needed grow with the logarithm of the vertices, not with a path's length. Nulls and loops are
+    left out. Raises if it has not settled in max_rounds.
+    """
+    clean = edges.select("u", "v").where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    now = cut(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = None
+    for _ in range(max_rounds):
+        both = directed(now)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        now = cut(small.where("u <> v").distinct())
+        was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if was == state:
+            return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    raise RuntimeError(f"components have not settled in {max_rounds} rounds")
+
+
+def betweenness(adjacent: dict, roots=None) -> dict:
+    """Edge betweenness of an undirected graph given as neighbour sets, by shortest-path counts from every vertex, or from roots."""
     total: dict = {}
-    for root in adjacent:
+    for root in adjacent if roots is None else roots:
         depth, paths, order, queue = {root: 0}, {root: 1}, [], deque([root])
         while queue:
             x = queue.popleft()
@@ -123,8 +130,24 @@ def whole(edges: DataFrame, run, schema: str) -> DataFrame:
 
 
 def edge_betweenness(edges: DataFrame) -> DataFrame:
-    """(u, v, value) of a small graph."""
-    return whole(edges, lambda a: [(u, v, x) for (u, v), x in betweenness(a).items()], "u long, v long, value double")
+    """(u, v, value): the tasks start from their share of the vertices and hold the whole graph, which has at most SHIPPED edges; a
+    larger one raises."""
+    rows = edges.select("u", "v").limit(SHIPPED + 1).collect()
+    if len(rows) > SHIPPED:
+        raise ValueError(f"over {SHIPPED} edges")
+    adjacent: dict = {}
+    for u, v in rows:
+        adjacent.setdefault(u, set()).add(v)
+        adjacent.setdefault(v, set()).add(u)
+
+    def share(pdfs):
+        import pandas as pd
+
+        for pdf in pdfs:
+            yield pd.DataFrame([(*e, x) for e, x in betweenness(adjacent, pdf.id.tolist()).items()], columns=["u", "v", "value"])
+
+    parts_ = vertices(edges).repartition("id").mapInPandas(share, "u long, v long, value double")
+    return parts_.groupBy("u", "v").agg(F.sum("value").alias("value"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

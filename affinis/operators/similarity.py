@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from affinis.functions import PRIME, WIDE, hashes, jaccard
-from affinis.operators.stats import word_rows
+from affinis.operators.stats import dense_codes, without_words, word_rows
 
 
 def pair_counts(pair_rows: DataFrame) -> DataFrame:
@@ -26,27 +26,40 @@ def jaccard_join(pair_rows: DataFrame, least: float) -> DataFrame:
     return with_jaccard(pair_counts(pair_rows), pair_rows, least)
 
 
-def lsh_join(pair_rows: DataFrame, least: float, modulus: int, a_range: range, b_range: range, rows: int = 1, prime: int = PRIME) -> DataFrame:
-    """The pairs of jaccard_join that share a band of `rows` MinHash values; items are whole numbers."""
+def coded(pair_rows: DataFrame) -> DataFrame:
+    """pair_rows with items of any kind as whole numbers from 0 on, in their order."""
+    return pair_rows.join(dense_codes(pair_rows, "item"), F.col("item") == F.col("value")).select("key", F.col("code").alias("item"))
+
+
+def lsh_candidates(pair_rows: DataFrame, modulus: int, a_range: range, b_range: range, rows: int = 1, prime: int = PRIME) -> DataFrame:
+    """(a, b), a < b: keys that share a band of `rows` MinHash values; items are whole numbers (see coded)."""
     n = len(a_range) * len(b_range) // rows * rows
     values = pair_rows.select("key", F.posexplode(hashes(F.col("item"), a_range, b_range, modulus, prime)).alias("i", "h")).where(F.col("i") < n)
     signature = values.groupBy("key", "i").agg(F.min("h").alias("h"))
     bands = signature.groupBy("key", F.floor(F.col("i") / rows).alias("band")).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("s"))
     other = bands.select(F.col("key").alias("b"), "band", "s")
-    found = bands.select(F.col("key").alias("a"), "band", "s").join(other, ["band", "s"]).where("a < b").select("a", "b").distinct()
+    return bands.select(F.col("key").alias("a"), "band", "s").join(other, ["band", "s"]).where("a < b").select("a", "b").distinct()
+
+
+def lsh_join(pair_rows: DataFrame, least: float, modulus: int, a_range: range, b_range: range, rows: int = 1, prime: int = PRIME) -> DataFrame:
+    """The pairs of jaccard_join that are lsh_candidates; items are whole numbers (see coded)."""
+    found = lsh_candidates(pair_rows, modulus, a_range, b_range, rows, prime)
     common = pair_rows.select(F.col("key").alias("a"), "item").join(found, "a").join(pair_rows.select(F.col("key").alias("b"), "item"), ["b", "item"])
     return with_jaccard(common.groupBy("a", "b").agg(F.count("*").alias("common")), pair_rows, least)
 
 
-def tfidf(df: DataFrame, key: str, text: str, stopwords: list[str], k: int, rare: float = 1e-6) -> DataFrame:
-    """(key, word, score): each key's k best words by tf / max tf * log2(keys / df), ties by word."""
-    counts = word_rows(df.withColumnRenamed(key, "key"), text, "key", signs=WIDE).where(~F.col("word").isin(stopwords)).groupBy("key", "word").agg(F.count("*").alias("tf"))
+def tfidf(df: DataFrame, key: str, text: str, stopwords, k: int, rare: float = 1e-6, compat: bool = False) -> DataFrame:
+    """(key, word, score): each key's k best words by tf / max tf * log2(keys / df), ties by word; compat: tf * (log2(keys / df) / max tf)^tf.
+    stopwords: a list or a table (word)."""
+    counts = without_words(word_rows(df.withColumnRenamed(key, "key"), text, "key", signs=WIDE), stopwords).groupBy("key", "word").agg(F.count("*").alias("tf"))
     whole = counts.groupBy("word").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
     # the corpus total is one number
     whole = whole.join(F.broadcast(whole.agg(F.sum("n").alias("total"))), F.col("n") >= F.col("total") * rare).select("word", "df")
     keys = F.broadcast(df.agg(F.count_distinct(key).alias("keys")))
     most = counts.groupBy("key").agg(F.max("tf").alias("most"))
-    scored = counts.join(whole, "word").join(most, "key").join(keys, F.lit(True)).withColumn("score", F.col("tf") / F.col("most") * F.log2(F.col("keys") / F.col("df")))
+    scored = counts.join(whole, "word").join(most, "key").join(keys, F.lit(True))
+    rarity = F.log2(F.col("keys") / F.col("df"))
+    scored = scored.withColumn("score", F.col("tf") * F.pow(rarity / F.col("most"), F.col("tf")) if compat else F.col("tf") / F.col("most") * rarity)
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.round("score", 9)), "word"))
     return scored.withColumn("r", rank).where(F.col("r") <= k).select("key", "word", "score")
 

@@ -50,3 +50,18 @@ def fm_estimate(df: DataFrame, text: str, groups: int = 20, modulus: int = 3477,
     size = len(FM_A) * len(FM_B) // groups
     by = fm_rows(df, text, modulus, *keys).groupBy(*keys, F.floor(F.col("i") / size).alias("g")).agg(F.avg(F.pow(F.lit(2.0), F.col("r"))).alias("m"))
     return by.groupBy(*keys).agg(F.median("m").alias("estimate"))
+
+
+def distinct_sketch(df: DataFrame, column: str, *keys) -> DataFrame:
+    """(keys, sketch): a HyperLogLog sketch of each group, to be merged and read by merged_distinct."""
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(column).alias("sketch"))
+
+
+def merged_distinct(sketches: DataFrame, *keys) -> DataFrame:
+    """(keys, n): the estimated distinct values of all sketches of a group together."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
+
+
+def bloom_flags(probes: DataFrame, column: str, built: tuple[DataFrame, int], row: str, bits: int = 3000) -> DataFrame:
+    """(row, hit) of each probe; row tells the input order, such as sources.numbered gives."""
+    return bloom_probe(probes, column, built, bits).select(row, "hit")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from affinis.checkpoints import cut
 from affinis.functions import NARROW, words
 
 
@@ -28,10 +29,15 @@ def word_rows(df: DataFrame, text: str, *keys: str, signs: str = NARROW) -> Data
     return df.select(*keys, F.explode(words(F.col(text), signs)).alias("word"))
 
 
-def top_words(df: DataFrame, text: str, stopwords: list[str], k: int) -> DataFrame:
-    """Stopwords are a short list of the caller's."""
-    rows = word_rows(df, text)
-    return rows.where(~F.col("word").isin(stopwords)).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(k)
+def without_words(rows: DataFrame, stopwords) -> DataFrame:
+    """rows without those whose word is a stopword: a short list of the caller's, or a table (word) of any size."""
+    if isinstance(stopwords, DataFrame):
+        return rows.join(stopwords.select("word"), "word", "left_anti")
+    return rows.where(~F.col("word").isin(list(stopwords)))
+
+
+def top_words(df: DataFrame, text: str, stopwords, k: int) -> DataFrame:
+    return without_words(word_rows(df, text), stopwords).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(k)
 
 
 def category_avg(df: DataFrame, categories: str, value: str, k: int, sep: str = ",") -> DataFrame:
@@ -62,3 +68,18 @@ def hash_sample(df: DataFrame, key: str, share: float) -> DataFrame:
 def reservoir(df: DataFrame, key: str, k: int) -> DataFrame:
     """A uniform sample of k rows by priority: the k least arithmetic hashes, ties by key."""
     return df.orderBy((F.col(key) * 7919 + 104729) % 149399, key).limit(k)
+
+
+def sample_levels(df: DataFrame, key: str, tag: str, k: int, levels: int) -> DataFrame:
+    """Tags with the `levels` highest counts in a reservoir of k rows, ties included."""
+    return top_levels(reservoir(df, key, k), tag, levels)
+
+
+def dense_codes(df: DataFrame, column: str) -> DataFrame:
+    """(value, code): the distinct non-null values in ascending order, numbered from 0 on without gaps. Values are sorted by ranges; what
+    one task sees is a count for each range."""
+    part, place = F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")
+    ranged = cut(df.select(F.col(column).alias("value")).where("value IS NOT NULL").distinct().orderBy("value").select("value", part, place))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return ranged.join(F.broadcast(bases), "part").select("value", (F.col("base") + F.col("place")).alias("code"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from affinis import streaming
-from affinis.functions import PRIME, euclidean
+from affinis.checkpoints import cut
+from affinis.functions import PRIME, euclidean, to_second
 from affinis.operators import baskets, cf, clustering, graph, similarity, sketches, stats
 
 QUERIES: dict = {}
@@ -56,7 +57,16 @@ NARROW_SQL = WORD_SQL % r"[(\[,.!?:;\])]"
 WIDE_SQL = WORD_SQL % r"[{}+=~*%%#$@(\-/\[,.!?&:;\]0-9)\"]".replace("%%", "%")
 
 
-@query(f"SELECT word, count(*) AS n FROM ({NARROW_SQL}) WHERE word NOT IN ({STOPS}) GROUP BY 1 ORDER BY n DESC, word LIMIT 20")
+TOP_WORDS = f"SELECT word, count(*) AS n FROM ({NARROW_SQL}) WHERE word NOT IN ({STOPS}) GROUP BY 1 ORDER BY n DESC, word LIMIT 20"
+
+
+@query(TOP_WORDS)
+def top_words_without_table(spark, d):
+    stop = spark.createDataFrame([(w,) for w in STOP], "word string")
+    return stats.top_words(table(spark, d, "documents"), "text", stop, 20)
+
+
+@query(TOP_WORDS)
 def top_words(spark, d):
     return stats.top_words(table(spark, d, "documents"), "text", STOP, 20)
 
@@ -108,6 +118,22 @@ def tag_top_levels(spark, d):
     return stats.top_levels(tags(spark, d), "k", 3)
 
 
+@query("""SELECT key, n, level FROM (SELECT event_type AS key, count(*) AS n, dense_rank() OVER (ORDER BY count(*) DESC) AS level
+FROM (SELECT event_type FROM events ORDER BY (event_id * 7919 + 104729) % 149399, event_id LIMIT 200) GROUP BY 1) WHERE level <= 3""")
+def sample_tag_levels(spark, d):
+    return stats.sample_levels(table(spark, d, "events"), "event_id", "event_type", 200, 3)
+
+
+@query("SELECT s_name AS value, row_number() OVER (ORDER BY s_name) - 1 AS code FROM (SELECT DISTINCT s_name FROM supplier)")
+def item_codes(spark, d):
+    return stats.dense_codes(table(spark, d, "supplier"), "s_name")
+
+
+@query("SELECT date_trunc('second', ts) AS second, count(*) AS n FROM events GROUP BY 1")
+def events_by_second(spark, d):
+    return table(spark, d, "events").groupBy(to_second(F.col("ts")).cast("timestamp_ntz").alias("second")).agg(F.count("*").alias("n"))
+
+
 @query()
 def approx_distinct(spark, d):
     return table(spark, d, "orders").agg(F.approx_count_distinct("o_custkey").alias("n"))
@@ -164,6 +190,11 @@ def filtered_frequent_pairs(spark, d):
     return baskets.itemsets(baskets.frequent(baskets.larger(event_pairs(spark, d), 45), 35, 2)).where("size = 2")
 
 
+@query(f"WITH p AS ({PAIRS}) {sets_sql(1, 45)} UNION ALL {sets_sql(2, 45)}")
+def son_itemsets(spark, d):
+    return baskets.son(baskets.baskets(tags(spark, d), "user_id", "k"), 45, 2)
+
+
 @query(f"WITH p AS ({PAIRS}) {sets_sql(1, 45)} UNION ALL {sets_sql(2, 45)} UNION ALL {sets_sql(3, 45)}")
 def frequent_fpgrowth(spark, d):
     return baskets.fp_growth(baskets.baskets(tags(spark, d), "user_id", "k"), 45).where("size <= 3")
@@ -193,6 +224,11 @@ s AS (SELECT key, word, tf / most::DOUBLE * log2((SELECT count(DISTINCT source)
 top AS (SELECT key, word, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(score, 9) DESC, word) AS r FROM s) WHERE r <= 50)"""
 
 
+@query(f"WITH {TFIDF.replace('tf / most::DOUBLE * log2((SELECT count(DISTINCT source) FROM documents) / df::DOUBLE)', 'tf * pow(log2((SELECT count(DISTINCT source) FROM documents) / df::DOUBLE) / most, tf)')} SELECT key, word, round(score, 6) AS score FROM top")
+def tfidf_compat(spark, d):
+    return rounded(similarity.tfidf(table(spark, d, "documents"), "source", "text", STOP, 50, compat=True), "score")
+
+
 def source_profiles(spark, d):
     return similarity.tfidf(table(spark, d, "documents"), "source", "text", STOP, 50)
 
@@ -253,6 +289,20 @@ def user_pearson(spark, d):
     return cf.pearson(event_ratings(spark, d).persist(), "user", "item")
 
 
+@query(f"""WITH r AS ({EVENTS}), p AS ({PAIRS}), h AS (SELECT key, a, b, min(((item * a + b) % {PRIME}) % 100) AS h FROM p, range(1, 350, 50) r(a), range(1, 20, 7) s(b) GROUP BY ALL),
+f AS (SELECT DISTINCT x.key AS a, y.key AS b FROM h x JOIN h y ON x.a = y.a AND x.b = y.b AND x.h = y.h AND x.key < y.key) SELECT a, b, sim FROM ({pearson_sql('user', 'item')}) SEMI JOIN f USING (a, b)""")
+def user_pearson_lsh(spark, d):
+    near = similarity.lsh_candidates(event_pairs(spark, d), 100, range(1, 350, 50), range(1, 20, 7))
+    return cf.pearson(event_ratings(spark, d), "user", "item", among=near)
+
+
+@query(f"""SELECT "user", item, round(list_reduce(list(value ORDER BY event_id, value), lambda a, x: (a + x) / 2), 6) AS stars
+FROM (SELECT user_id AS "user", CAST(json_extract_string(props, '$.k') AS BIGINT) AS item, event_id, value FROM events) GROUP BY ALL""")
+def rating_fold(spark, d):
+    e = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return rounded(cf.folded_ratings(e, "user_id", "k", "value", "event_id"), "stars")
+
+
 @query(f"""WITH r AS ({EVENTS}), m AS ({pearson_sql('item', 'user')}), w AS (SELECT a, b, sim FROM m UNION ALL SELECT b, a, sim FROM m),
 near AS (SELECT t.user, t.item, r.stars, sim, row_number() OVER (PARTITION BY t.user, t.item ORDER BY sim DESC, w.b) AS n FROM r t JOIN r ON r.user = t.user JOIN w ON w.a = t.item AND w.b = r.item)
 SELECT user, item, round(sum(sim * stars) / sum(abs(sim)), 6) AS stars FROM near WHERE n <= 5 GROUP BY ALL""")
@@ -272,11 +322,16 @@ def predict_user(spark, d):
 
 # graph
 
-def event_graph(spark, d):
-    return graph.top_edges(graph.cooccurrence(event_pairs(spark, d), 20), 80).persist()
+def event_graph(spark, d, least=30):
+    """The whole graph of users with at least so many common items."""
+    return cut(graph.cooccurrence(event_pairs(spark, d), least))
+
+
+def graph_sql(least=30):
+    return f"{COMMON}, e AS (SELECT a AS u, b AS v, c AS n FROM c WHERE c >= {least}), arcs AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e)"
 
 
-GRAPH = f"{COMMON}, e AS (SELECT a AS u, b AS v, c AS n FROM c WHERE c >= 20 ORDER BY n DESC, u, v LIMIT 80), arcs AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e)"
+GRAPH = graph_sql()
 
 
 @query(f"WITH {COMMON} SELECT a AS u, b AS v, c AS n FROM c WHERE c >= 36")
@@ -313,11 +368,11 @@ WHERE d = {k - 1} AND NOT EXISTS (SELECT 1 FROM b{k - 1} o WHERE o.s = b.s AND o
     return sql
 
 
-@query(f"""WITH {GRAPH}, {_levels()} SELECT e.u, e.v, round(sum(x.paths * y.paths / st.paths) / 2, 6) AS value FROM b16 st JOIN e ON st.s <> st.t
+@query(f"""WITH {graph_sql(36)}, {_levels()} SELECT e.u, e.v, round(sum(x.paths * y.paths / st.paths) / 2, 6) AS value FROM b16 st JOIN e ON st.s <> st.t
 JOIN arcs ON (arcs.u = e.u AND arcs.v = e.v) OR (arcs.u = e.v AND arcs.v = e.u) JOIN b16 x ON x.s = st.s AND x.t = arcs.u JOIN b16 y ON y.s = arcs.v AND y.t = st.t
 WHERE x.d + 1 + y.d = st.d GROUP BY e.u, e.v""")
 def edge_betweenness(spark, d):
-    return rounded(graph.edge_betweenness(event_graph(spark, d)), "value")
+    return rounded(graph.edge_betweenness(event_graph(spark, d, 36)), "value")
 
 
 @query(f"""{COMPONENTS}, k AS (SELECT u AS id, count(*) AS k FROM arcs GROUP BY u),
@@ -330,7 +385,7 @@ def modularity(spark, d):
 
 @query()
 def girvan_newman(spark, d):
-    return graph.girvan_newman(event_graph(spark, d))
+    return graph.girvan_newman(event_graph(spark, d, 36))
 
 
 # clustering

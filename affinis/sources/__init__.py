@@ -38,3 +38,17 @@ def socket_json(spark: SparkSession, host: str, port: int, schema: str) -> DataF
 
 def file_stream(spark: SparkSession, folder: str, schema, pattern: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """df with a number that ascends in the order in which its files are read; a reread of the same files gives the same."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def keyword_stream(stream: DataFrame, text: str, words: list[str]) -> DataFrame:
+    """The rows of a stream whose text holds one of the words, whatever its case."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | low.contains(w.lower())
+    return stream.where(hit)

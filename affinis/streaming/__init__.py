@@ -29,15 +29,63 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFram
     return stream.sparkSession.table(name)
 
 
-def reservoir_stream(stream: DataFrame, key: str, size: int, each):
-    """Feed every micro-batch into a priority sample of `size` rows; each(sample, batch number) sees it. Returns the writer."""
-    kept: list = []
-
-    def step(batch, number):
-        nonlocal kept
-        spark = batch.sparkSession
-        rows = batch if not kept else batch.unionByName(spark.createDataFrame(kept, batch.schema))
-        kept = rows.orderBy((F.col(key) * 7919 + 104729) % 149399, key).limit(size).collect()  # at most `size` rows
-        each(spark.createDataFrame(kept, batch.schema), number)
-
-    return stream.writeStream.foreachBatch(step)
+def append_csv(stream: DataFrame, path: str, checkpoint: str, trigger: str | None = None, mode: str = "update"):
+    """Start a query that writes each micro-batch of a windowed stream as headered CSV under path/batch=<number>. checkpoint is a
+    shared folder from which a restart goes on; a batch that is done again replaces what it wrote. trigger, such as "5 seconds":
+    how often; none: what there is now, then stop."""
+
+    def write(batch, number):
+        batch.write.mode("overwrite").option("header", True).csv(f"{path}/batch={number}")
+
+    return started(stream.writeStream.outputMode(mode).foreachBatch(write), checkpoint, trigger)
+
+
+def started(writer, checkpoint: str, trigger: str | None = None):
+    when = {"processingTime": trigger} if trigger else {"availableNow": True}
+    return writer.option("checkpointLocation", checkpoint).trigger(**when).start()
+
+
+def priority(key):
+    return (F.col(key) * 7919 + 104729) % 149399
+
+
+def reservoir_stream(stream: DataFrame, key: str, size: int) -> DataFrame:
+    """(batch rows) after each micro-batch a priority sample of `size` rows (key, tag) of all so far, as (key, tag, n): n counts the
+    sample's rows with that tag. The sample is the operator's state, so a restart from the checkpoint goes on with it. stream has a
+    whole-number key and a string column tag; each task passes on at most `size` rows of a batch to the one that holds the state."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    kinds = "key long, tag string"
+
+    class Reservoir(StatefulProcessor):
+        def init(self, handle):
+            self.rows = handle.getListState("rows", kinds)
+
+        def handleInputRows(self, group, pdfs, timers):
+            import pandas as pd
+
+            held = pd.DataFrame([tuple(r) for r in self.rows.get()] if self.rows.exists() else [], columns=["key", "tag"])
+            for pdf in pdfs:
+                held = pd.concat([held, pdf[["key", "tag"]]])
+                order = ((held.key.astype("int64") * 7919 + 104729) % 149399).rename("p")
+                held = held.assign(p=order).sort_values(["p", "key"], kind="stable").head(size)[["key", "tag"]]
+            self.rows.put([(int(k), t) for k, t in held.itertuples(index=False)])
+            held["n"] = held.groupby("tag", dropna=False)["key"].transform("size").astype("int64")
+            yield held
+
+        def close(self):
+            pass
+
+    def least(pdfs):
+        import pandas as pd
+
+        best = None
+        for pdf in pdfs:
+            best = pdf if best is None else pd.concat([best, pdf])
+            best = best.assign(p=(best.key * 7919 + 104729) % 149399).sort_values(["p", "key"], kind="stable").head(size)[["key", "tag"]]
+        if best is not None:
+            yield best
+
+    rows = stream.select(F.col(key).cast("long").alias("key"), F.col("tag").cast("string").alias("tag")).where("key IS NOT NULL")
+    few = rows.mapInPandas(least, kinds).withColumn("all", F.lit(0))
+    return few.groupBy("all").transformWithStateInPandas(Reservoir(), f"{kinds}, n long", "Update", "None")

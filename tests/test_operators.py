@@ -84,9 +84,75 @@ def test_bridge_betweenness_and_communities(spark):
 
 
 def test_components_raise_rather_than_split(spark):
-    path = edges(spark, *((k, k + 1) for k in range(1, 6)))
+    path = edges(spark, *((k, k + 1) for k in range(1, 200)), (300, 301), (301, 301), (None, 5))
+    assert {c: sum(x == c for _, x in rows(graph.connected_components(path))) for c in (1, 300)} == {1: 200, 300: 2}
+    assert not rows(graph.connected_components(path.limit(0)))
     with pytest.raises(RuntimeError):
-        graph.connected_components(path, 3)
+        graph.connected_components(path, 2)
+
+
+def test_betweenness_shares_add_up(spark):
+    e = [(a, b) for a in range(12) for b in range(a + 1, 12) if (a * b) % 5 == 1 or b == a + 1]
+    adjacent: dict = {}
+    for a, b in e:
+        adjacent.setdefault(a, set()).add(b)
+        adjacent.setdefault(b, set()).add(a)
+    want = graph.betweenness(adjacent)
+    got = {(u, v): x for u, v, x in rows(graph.edge_betweenness(edges(spark, *e)))}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_dense_codes_and_string_items(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "b"), (2, "a"), (2, "c"), (3, None)], "key long, item string")
+    assert rows(stats.dense_codes(df, "item")) == [("a", 0), ("b", 1), ("c", 2)]
+    assert rows(stats.dense_codes(df.repartition(3).select((F.col("key") * 10).alias("n")), "n")) == [(10, 0), (20, 1), (30, 2)]
+    p = baskets.pairs(df, "key", "item")
+    assert rows(similarity.coded(p)) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
+    assert rows(similarity.lsh_join(similarity.coded(p), 0.5, 97, range(1, 350, 7), range(1, 20, 7))) == [(1, 2, 2 / 3)]
+
+
+def test_stopwords_may_be_a_table(spark):
+    df = spark.createDataFrame([(1, "the cat the hat"), (2, "a cat")], "id long, t string")
+    stop = spark.createDataFrame([("the",), ("a",)], "word string")
+    assert rows(stats.top_words(df, "t", stop, 5)) == rows(stats.top_words(df, "t", ["the", "a"], 5)) == [("cat", 2), ("hat", 1)]
+    twice = spark.createDataFrame([(1, "x x y"), (2, "y")], "id long, t string")
+    got = {(k, w): s for k, w, s in rows(similarity.tfidf(twice, "id", "t", stop, 5, compat=True))}
+    assert got[(1, "x")] == 2 * (1.0 / 2) ** 2 and got[(1, "y")] == 0.0
+
+
+def test_son_finds_what_apriori_finds(spark):
+    data = [(b, i) for b, items in enumerate(["abc", "abd", "ab", "c", "abcd", "xyz", "xy"]) for i in items]
+    b = baskets.baskets(baskets.pairs(spark.createDataFrame(data, "key long, item string"), "key", "item").repartition(3), "key", "item")
+    want = rows(baskets.itemsets(baskets.frequent(baskets.pairs(spark.createDataFrame(data, "key long, item string"), "key", "item"), 2, 3)))
+    assert sorted(rows(baskets.son(b, 2, 3))) == sorted(want)
+    assert set(want) <= {(len(r.items), ",".join(r["items"]), 0)[:2] + (n,) for r in baskets.son_candidates(b, 2, 3, at_once=2).collect() for n in range(8)}
+    sets = spark.createDataFrame([(["a", "b"],), (["x", "z"],), (["a", "x"],)], "items array<string>")
+    assert {tuple(r["items"]): r.freq for r in baskets.containment_counts(sets, b).collect()} == {("a", "b"): 4, ("x", "z"): 1}
+    assert not rows(baskets.son(b.limit(0), 2, 3))
+
+
+def test_ratings_fold_in_order(spark):
+    df = spark.createDataFrame([(1, 10, 4.0, 1), (1, 10, 2.0, 3), (1, 10, 5.0, 2), (2, 10, 3.0, 1)], "user long, item long, stars double, at long")
+    assert rows(cf.folded_ratings(df, "user", "item", "stars", "at")) == [(1, 10, 3.25), (2, 10, 3.0)]
+
+
+def test_pearson_among_candidates(spark):
+    r = spark.createDataFrame([(u, i, float((u * i) % 7 + i)) for u in range(6) for i in range(8)], "user long, item long, stars double")
+    whole = rows(cf.pearson(r, "user", "item"))
+    some = spark.createDataFrame([(a, b) for a, b, _ in whole[::2]], "a long, b long")
+    assert rows(cf.pearson(r, "user", "item", among=some)) == whole[::2]
+
+
+def test_trim_drops_points_of_small_clusters(spark):
+    p = spark.createDataFrame([(i, [float(i)]) for i in range(10)], "id long, vec array<double>")
+    g = spark.createDataFrame([(i, int(i == 9)) for i in range(10)], "id long, cluster long")
+    assert [r.id for r in clustering.trim(p, g, 0.2).orderBy("id").collect()] == list(range(9))
+
+
+def test_sketches_merge(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("string").alias("s"))
+    parts = sketches.distinct_sketch(df, "s", "g")
+    assert abs(sketches.merged_distinct(parts).first().n - 1000) < 50 and parts.count() == 3
 
 
 def test_modularity_of_two_triangles(spark):

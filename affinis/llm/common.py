@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affinis.operators.graph import connected_components
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -113,31 +115,8 @@ def labels_of(labels: DataFrame, name: str) -> DataFrame:
     )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (a, b): component is the smallest node that can be reached.
-
-    Alternates large-star and small-star rounds. A round takes the smallest neighbour of each node by an aggregate that
-    combines before its shuffle, and a plain join whose hot keys adaptive execution may split; no group of neighbours is
-    gathered anywhere. Self-loops and nulls are ignored; no edges give no rows. Raises if it has not settled in max_rounds.
-    """
-    clean = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = cut(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    for _ in range(max_rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        now = cut(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-            .where("u <> v").distinct()
-        )
-        was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if was == state:
-            break
-    else:
-        raise RuntimeError(f"components have not settled in {max_rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every node of edges (a, b): component is the smallest node that can be reached. Self-loops and nulls are
+    ignored; no edges give no rows. No group of neighbours is gathered anywhere."""
+    found = connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return found.select(F.col("id").alias("node"), "component")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinis.checkpoints import cut
+
 
 def pairs(df: DataFrame, key: str, item: str) -> DataFrame:
     return df.select(F.col(key).alias("key"), F.col(item).alias("item")).where("key IS NOT NULL AND item IS NOT NULL").distinct()
@@ -30,7 +32,7 @@ def frequent(pair_rows: DataFrame, support: int, size: int) -> list[DataFrame]:
     Level n joins each basket's frequent (n - 1)-sets with its larger frequent items, so a candidate's prefix is frequent.
     """
     first = pair_rows.groupBy(F.col("item").alias("i1")).agg(F.count("*").alias("freq")).where(F.col("freq") >= support)
-    kept = pair_rows.join(first.select(F.col("i1").alias("item")), "item", "left_semi").select("key", "item").persist()
+    kept = cut(pair_rows.join(first.select(F.col("i1").alias("item")), "item", "left_semi").select("key", "item"))
     levels, rows = [first], kept.withColumnRenamed("item", "i1")
     for n in range(2, size + 1):
         names = [f"i{k}" for k in range(1, n + 1)]
@@ -71,7 +73,8 @@ def son_candidates(basket_rows: DataFrame, support: int, size: int, at_once: int
         for pdf in pdfs:
             for at in range(0, len(pdf), at_once):
                 part = [list(x) for x in pdf["items"][at : at + at_once]]
-                yield pd.DataFrame({"items": [list(s) for s in local_itemsets(part, max(1, -(-support * len(part) // total)), size)]})
+                if found := local_itemsets(part, max(1, -(-support * len(part) // total)), size):
+                    yield pd.DataFrame({"items": [list(s) for s in found]})
 
     return basket_rows.select("items").mapInPandas(mine, f"items {kind}").distinct()
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinis.checkpoints import cut
 from affinis.functions import euclidean, mahalanobis
 
 
@@ -134,13 +135,13 @@ def bfr(points: DataFrame, chunk: str, k: int, rounds: int = 5) -> tuple[DataFra
     dims = len(points.first().vec)
     limit = math.sqrt(dims)
     first = points.where(F.col(chunk) == F.lit(chunks[0])).select("id", "vec")
-    core = trim(first, kmeans(first, farthest_first(first, 5 * k), 1)).persist()
-    groups = kmeans(core, farthest_first(core, 3 * k), rounds).persist()
+    core = cut(trim(first, kmeans(first, farthest_first(first, 5 * k), 1)))
+    groups = cut(kmeans(core, farthest_first(core, 3 * k), rounds))
     sized = groups.groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster").collect()
     ds = {r.cluster: j for j, r in enumerate(sized[:k])}
     cs = {r.cluster: 10_000 + j for j, r in enumerate(r for r in sized[k:] if r.n > 1)}
     lookup = spark.createDataFrame([(int(a), int(b)) for a, b in {**ds, **cs}.items()], "old long, cluster long")
-    own = first.join(groups.withColumnRenamed("cluster", "old"), "id", "left").join(F.broadcast(lookup), "old", "left").select("id", "vec", "cluster").persist()
+    own = cut(first.join(groups.withColumnRenamed("cluster", "old"), "id", "left").join(F.broadcast(lookup), "old", "left").select("id", "vec", "cluster"))
     sums = "cluster long, n long, total array<double>, squares array<double>"
     number_of = 10_000 + len(cs)
 
@@ -159,23 +160,23 @@ def bfr(points: DataFrame, chunk: str, k: int, rounds: int = 5) -> tuple[DataFra
     note(1)
     for number, name in enumerate(chunks[1:], 2):
         new = points.where(F.col(chunk) == F.lit(name)).select("id", "vec")
-        near = mahalanobis_assign(new, stats.where("cluster < 10000"), 2 * limit).drop("dist").persist()
+        near = cut(mahalanobis_assign(new, stats.where("cluster < 10000"), 2 * limit).drop("dist"))
         loose = near.where("cluster IS NULL").select("id", "vec")
-        more = mahalanobis_assign(loose, stats.where("cluster >= 10000"), 3 * limit).drop("dist").persist()
-        taken = near.where("cluster IS NOT NULL").unionByName(more.where("cluster IS NOT NULL")).persist()
+        more = cut(mahalanobis_assign(loose, stats.where("cluster >= 10000"), 3 * limit).drop("dist"))
+        taken = near.where("cluster IS NOT NULL").unionByName(more.where("cluster IS NOT NULL"))
         stats = small(merged(stats, statistics(taken)))
-        left = retained.unionByName(more.where("cluster IS NULL").select("id", "vec")).persist()
+        left = retained.unionByName(more.where("cluster IS NULL").select("id", "vec"))
         if left.limit(2).count() > 1:
-            groups = kmeans(left, farthest_first(left, 3 * k), rounds).persist()
+            groups = cut(kmeans(left, farthest_first(left, 3 * k), rounds))
             several = sorted(r.cluster for r in groups.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").collect())
             lookup = spark.createDataFrame([(int(c), number_of + j) for j, c in enumerate(several)], "old long, cluster long")
             number_of += len(several)
-            again = left.join(groups.withColumnRenamed("cluster", "old"), "id").join(F.broadcast(lookup), "old", "left").select("id", "vec", "cluster").persist()
+            again = cut(left.join(groups.withColumnRenamed("cluster", "old"), "id").join(F.broadcast(lookup), "old", "left").select("id", "vec", "cluster"))
         else:
             again = left.withColumn("cluster", F.lit(None).cast("long"))
         retained = again.where("cluster IS NULL").select("id", "vec")
         stats = settled(stats.unionByName(statistics(again.where("cluster IS NOT NULL"))))
-        placed = placed.where("cluster IS NOT NULL").unionByName(taken).unionByName(again).persist()
+        placed = placed.where("cluster IS NOT NULL").unionByName(taken).unionByName(again)
         note(number)
     # every leftover point goes to the nearest discard set
     discard = stats.where("cluster < 10000").select("cluster", F.transform("total", lambda s: s / F.col("n")).alias("centre"))

@@ -249,7 +249,7 @@ def user_profile(spark, d):
 @query(f"""WITH {TFIDF}, {LANGS}, c AS (SELECT u.key, top.key AS item, count(*) AS c FROM u JOIN top USING (word) GROUP BY ALL)
 SELECT key, item, round(c / (sqrt((SELECT count(*) FROM u v WHERE v.key = c.key)) * sqrt((SELECT count(*) FROM top t WHERE t.key = c.item))), 6) AS sim FROM c JOIN p USING (key, item)""")
 def content_score(spark, d):
-    profiles = source_profiles(spark, d).persist()
+    profiles = cut(source_profiles(spark, d))
     test = baskets.pairs(table(spark, d, "documents"), "lang", "source")
     return rounded(similarity.content_score(test, similarity.user_profiles(test, profiles), profiles), "sim")
 
@@ -277,7 +277,7 @@ def dup_rating_mean(spark, d):
 
 @query(f"WITH r AS ({RATED.format('l_suppkey')}) {pearson_sql('item', 'user')}")
 def item_pearson(spark, d):
-    return cf.pearson(supplier_ratings(spark, d).persist(), "item", "user")
+    return cf.pearson(cut(supplier_ratings(spark, d)), "item", "user")
 
 
 def event_ratings(spark, d):
@@ -286,7 +286,7 @@ def event_ratings(spark, d):
 
 @query(f"WITH r AS ({EVENTS}) {pearson_sql('user', 'item')}")
 def user_pearson(spark, d):
-    return cf.pearson(event_ratings(spark, d).persist(), "user", "item")
+    return cf.pearson(cut(event_ratings(spark, d)), "user", "item")
 
 
 @query(f"""WITH r AS ({EVENTS}), p AS ({PAIRS}), h AS (SELECT key, a, b, min(((item * a + b) % {PRIME}) % 100) AS h FROM p, range(1, 350, 50) r(a), range(1, 20, 7) s(b) GROUP BY ALL),
@@ -307,17 +307,17 @@ def rating_fold(spark, d):
 near AS (SELECT t.user, t.item, r.stars, sim, row_number() OVER (PARTITION BY t.user, t.item ORDER BY sim DESC, w.b) AS n FROM r t JOIN r ON r.user = t.user JOIN w ON w.a = t.item AND w.b = r.item)
 SELECT user, item, round(sum(sim * stars) / sum(abs(sim)), 6) AS stars FROM near WHERE n <= 5 GROUP BY ALL""")
 def predict_item(spark, d):
-    r = event_ratings(spark, d).persist()
-    return rounded(cf.predict_item(r.select("user", "item"), r, cf.pearson(r, "item", "user").persist()), "stars")
+    r = cut(event_ratings(spark, d))
+    return rounded(cf.predict_item(r.select("user", "item"), r, cut(cf.pearson(r, "item", "user"))), "stars")
 
 
 @query(f"""WITH r AS ({EVENTS}), m AS ({pearson_sql('user', 'item')}), w AS (SELECT a, b, sim FROM m UNION ALL SELECT b, a, sim FROM m), mean AS (SELECT user_id AS user, avg(value) AS mean FROM ({TAGS}) GROUP BY ALL),
 near AS (SELECT t.user, t.item, sum(sim * (r.stars - o.mean)) / sum(abs(sim)) AS d FROM r t JOIN r ON r.item = t.item JOIN w ON w.a = t.user AND w.b = r.user JOIN mean o ON o.user = r.user GROUP BY ALL)
 SELECT user, item, round(mean + d, 6) AS stars FROM near JOIN mean USING (user)""")
 def predict_user(spark, d):
-    r = event_ratings(spark, d).persist()
+    r = cut(event_ratings(spark, d))
     raw = tags(spark, d).select(F.col("user_id").alias("user"), F.col("value").alias("stars"))
-    return rounded(cf.predict_user(r.select("user", "item"), r, raw, cf.pearson(r, "user", "item").persist()), "stars")
+    return rounded(cf.predict_user(r.select("user", "item"), r, raw, cut(cf.pearson(r, "user", "item"))), "stars")
 
 
 # graph
@@ -415,7 +415,7 @@ def _kmeans():
 
 @query(f"WITH p AS ({VECS}), {_kmeans()} SELECT id, cluster FROM a3")
 def kmeans_fixed_seed(spark, d):
-    p = points(spark, d).select("id", "vec").persist()
+    p = cut(points(spark, d).select("id", "vec"))
     return clustering.kmeans(p, p.orderBy("id").limit(8).select(F.col("id").alias("cluster"), F.col("vec").alias("centre")), 3)
 
 
@@ -437,7 +437,7 @@ def mahalanobis_assign(spark, d):
 
 @query()
 def bfr_rounds(spark, d):
-    p = points(spark, d).select("id", "vec", (F.col("id") % 4).alias("chunk")).persist()
+    p = cut(points(spark, d).select("id", "vec", (F.col("id") % 4).alias("chunk")))
     return clustering.bfr(p, "chunk", 5)[1]
 
 

@@ -9,7 +9,9 @@ number of probes with recall TARGET is taken, for all queries alike. Candidates
 vectors in double precision.
 
 Cells are dealt over tasks in groups of about GROUP vectors, a fuller cell over several tasks, and so are the queries of a group
-above QUERIES, so that no task holds more of either. A task passes on a query's K best, which lose none of the K best overall.
+above QUERIES, so that no task holds more of either. A task passes on a query's K best, which lose none of the K best overall. A
+query first visits the group of its best cell in each table; its K-th best there is what rows of all other groups must reach, so
+that what travels for a query does not grow with the number of groups.
 
 Vectors that are null, empty, zero or hold null or non-finite components, or are of another length than most, take no part;
 nor do null ids. Equal scores go to the smaller id. A query with fewer candidates gets them all: where its probes bring fewer than
@@ -122,21 +124,24 @@ def wanted(base: DataFrame, asked: DataFrame, h: Hash, k: int) -> int:
     return int(np.sort(place)[int(np.ceil(TARGET * len(place))) - 1])
 
 
-def best_of(q: np.ndarray, x: np.ndarray, allowed, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of each query's k best among the vectors that are allowed to it, and those that tie with the k-th."""
+def best_of(q: np.ndarray, x: np.ndarray, allowed, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of each query's k best among the vectors that are allowed to it, and those that tie with the k-th; of
+    them only those that reach its least score."""
     found = []
     for at in range(0, len(q), 256):
         s = q[at : at + 256] @ x.T
         s[~allowed(slice(at, at + 256))] = -np.inf
-        some = s[:, : max(1024, k)]
-        # a bound from the first vectors leaves few of the others
-        m = min(k, some.shape[1])
-        floor = np.partition(-some, m - 1, axis=1)[:, m - 1]
-        who, to = np.nonzero((-s <= floor[:, None] + 1e-9) & (s > -np.inf))
+        floor = least[at : at + 256].copy()
+        if (open_ := np.flatnonzero(floor == -np.inf)).size:
+            # a bound from the first vectors leaves few of the others
+            some = s[open_, : max(1024, k)]
+            m = min(k, some.shape[1])
+            floor[open_] = -np.partition(-some, m - 1, axis=1)[:, m - 1]
+        who, to = np.nonzero((s >= floor[:, None] - 1e-9) & (s > -np.inf))
         score = np.einsum("ij,ij->i", q[at + who], x[to])
         by = np.lexsort((-score, who))
         who, to, score = who[by], to[by], score[by]
-        first = np.searchsorted(who, np.arange(min(256, len(q) - at)))
+        first = np.searchsorted(who, np.arange(len(floor)))
         size = np.diff(np.append(first, len(who)))
         kth = np.where(size >= k, score[np.minimum(first + k - 1, max(0, len(score) - 1))] if len(score) else 0.0, -np.inf)
         good = score >= kth[who]
@@ -180,30 +185,30 @@ def search(rows: DataFrame, is_query, k: int = K, column: str = "embedding") ->
         group[t] = np.cumsum(edge) - 1
     groups = int(group.max()) + 1
 
-    def probed(q: np.ndarray):
-        """For each table: the groups that each query visits, the least sum it probes there."""
-        for t in range(TABLES):
-            sums, least = reached(h, q, t, probes)
-            hit = (sums >= least[:, None] - 1e-12) & (amount[t] > 0)
-            if t == 0:
-                few = np.where(hit, amount[0], 0).sum(axis=1) < min(k + 1, count)
-                least[few], hit[few] = -np.inf, amount[0] > 0
-            row, c = np.nonzero(hit)
-            key = np.unique(row * groups + group[t][c])
-            yield t, key // groups, key % groups, least
-
-    def visiting(batches):
-        total = np.zeros((TABLES, groups), dtype=np.int64)
+    def probing(batches):
+        """For each query and table: the groups that it visits, whether its best cell is there, the least sum that it probes."""
         for b in batches:
-            v = stacked(b.column(0)) if b.num_rows else np.zeros((0, size.d))
-            for at in range(0, len(v), 128):
-                for t, _, g, _ in probed(v[at : at + 128]):
-                    total[t] += np.bincount(g, minlength=groups)
-        t, g = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(g), pa.array(total[t, g])], names=["t", "g", "n"])
+            q = stacked(b.column(2)) if b.num_rows else np.zeros((0, size.d))
+            for at in range(0, len(q), 128):
+                for t in range(TABLES):
+                    sums, least = reached(h, q[at : at + 128], t, probes)
+                    hit = (sums >= least[:, None] - 1e-12) & (amount[t] > 0)
+                    if t == 0:
+                        few = np.where(hit, amount[0], 0).sum(axis=1) < min(k + 1, count)
+                        least[few], hit[few] = -np.inf, amount[0] > 0
+                    row, c = np.nonzero(hit)
+                    key = np.unique(row * groups + group[t][c])
+                    row, g = key // groups, key % groups
+                    best = group[t][np.where(hit, sums, -np.inf).argmax(axis=1)]
+                    take = pa.array(at + row)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(row), t)), pa.array(g), pa.array(g == best[row]), pa.array(least[row]), b.column(0).take(take), b.column(1).take(take)],
+                        names=["t", "g", "first", "least", "q_row", "query_id"],
+                    )
 
+    visits = cut(asked.mapInArrow(probing, "t long, g long, first boolean, least double, q_row long, query_id long"))
     shares = np.ones((TABLES, groups), dtype=np.int64)
-    for r in asked.select("v").mapInArrow(visiting, "t long, g long, n long").groupBy("t", "g").agg(F.sum("n").alias("n")).collect():  # TABLES * groups
+    for r in visits.groupBy("t", "g").agg(F.count("*").alias("n")).collect():  # TABLES * groups
         shares[r.t, r.g] = -(-r.n // QUERIES)
     most = np.zeros((TABLES, groups), dtype=np.int64)
     for t in range(TABLES):
@@ -229,22 +234,25 @@ def search(rows: DataFrame, is_query, k: int = K, column: str = "embedding") ->
 
     def asking(batches):
         for b in batches:
-            v, own = (stacked(b.column(2)), b.column(0).to_numpy()) if b.num_rows else (np.zeros((0, size.d)), np.zeros(0, np.int64))
-            for start in range(0, len(v), 128):
-                for t, row, g, least in probed(v[start : start + 128]):
-                    times = most[t][g]
-                    part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    row, g = np.repeat(row, times), np.repeat(g, times)
-                    take = pa.array(start + row)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), t)), pa.array(g), pa.array(part), pa.array(own[start + row] % shares[t][g]), pa.array(least[row]), b.column(0).take(take), b.column(1).take(take), b.column(2).take(take)],
-                        names=["t", "g", "part", "share", "least", "q_row", "query_id", "v"],
-                    )
+            t, g, own = (b.column(c).to_numpy() for c in range(3))
+            times = most[t, g]
+            at = np.repeat(np.arange(b.num_rows), times)
+            part = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(part), pa.array((own % shares[t, g])[at]), *(c.take(take) for c in b.columns[2:])],
+                names=["t", "g", "part", "share", "q_row", "query_id", "least", "floor", "v"],
+            )
 
     keys = ("t", "g", "part", "share")
     kinds = "t long, g long, part long, share long"
     dealt = base.mapInArrow(dealing, f"{kinds}, cell long, row long, vec_id long, v {number}")
-    asks = asked.mapInArrow(asking, f"{kinds}, least double, q_row long, query_id long, v {number}")
+
+    def met(visiting: DataFrame) -> DataFrame:
+        """What the visits (with floor, a score that found rows must reach) find: a query's best from each task."""
+        rows = visiting.join(asked.select(F.col("row").alias("q_row"), "v"), "q_row").select("t", "g", "q_row", "query_id", "least", "floor", "v")
+        asks = rows.mapInArrow(asking, f"{kinds}, q_row long, query_id long, least double, floor double, v {number}")
+        return asks.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(ranked, "q_row long, query_id long, row long, vec_id long, score double")
 
     def ranked(mine, theirs):
         names = ["q_row", "query_id", "row", "vec_id", "score"]
@@ -261,12 +269,17 @@ def search(rows: DataFrame, is_query, k: int = K, column: str = "embedding") ->
             good = (one[some][:, cells // h.axes] + two[some][:, cells % h.axes] >= least[some, None] - 1e-12)[:, which]
             return good & (qr[some, None] != xr[None])
 
-        who, to, score = best_of(q, x, allowed, k)
+        who, to, score = best_of(q, x, allowed, k, mine.column("floor").to_numpy())
         a, b = pa.array(who), pa.array(to)
         return pa.table({"q_row": mine.column("q_row").take(a), "query_id": mine.column("query_id").take(a), "row": theirs.column("row").take(b), "vec_id": theirs.column("vec_id").take(b), "score": pa.array(score)})
 
-    met = asks.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(ranked, "q_row long, query_id long, row long, vec_id long, score double")
-    best = met.groupBy("q_row", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
+    once = lambda df: df.groupBy("q_row", "query_id", "row", "vec_id").agg(F.max("score").alias("score"))
+    # a query's best cells first: its k-th best there is what rows elsewhere must reach, so that few of them travel
+    first = cut(once(met(visits.where("first").withColumn("floor", F.lit(float("-inf"))))))
+    order = F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score")))
+    floors = first.withColumn("r", order).where(F.col("r") == k).select("q_row", F.col("score").alias("floor"))
+    others = visits.where("NOT first").join(floors, "q_row", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+    best = once(first.unionByName(met(others)))
     place = F.row_number().over(Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id", "row"))
     return cut(best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 

@@ -35,8 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their token ids, and their places in sequences of 1024 tokens."""
-    return pack(pieces(docs, with_ids=True))
+    """Pieces of documents and their places in sequences of 1024 tokens; pieces(docs, with_ids=True) would carry the ids along."""
+    return pack(pieces(docs))
 
 
 STAGES = [

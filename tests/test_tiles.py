@@ -35,3 +35,15 @@ def test_edges_without_a_join_on_common_items(spark, unjoined, kind):
     sets = crowded()
     want = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 12)
     assert rows(graph.cooccurrence(table(spark, sets, kind), 12)) == want
+
+
+def test_jaccard_without_a_join_on_common_items(spark, unjoined):
+    sets = crowded(seed=4)
+    sim = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = sorted((a, b, sim(a, b)) for a in sets for b in sets if a < b and sim(a, b) >= 0.4)
+    assert rows(similarity.jaccard_join(table(spark, sets), 0.4)) == want
+
+
+def test_sparse_sets_are_joined(spark):
+    p = table(spark, {k: {k, k + 1} for k in range(300)})
+    assert similarity.tiled(p)[1] == 0 and len(rows(similarity.jaccard_join(p, 0.3))) == 299

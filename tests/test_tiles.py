@@ -62,3 +62,12 @@ def test_correlations_by_tiles_are_those_by_a_join(spark, monkeypatch):
         assert near == rows(cf.pearson_lsh(rated, "user", "item", 10, range(1, 40, 13), range(1, 3))) and near
     unknown = rated.withColumn("stars", F.when(F.col("user") != 1, F.col("stars")))
     assert cf.tiled(unknown, "user", "item")[1] == 0
+
+
+def test_forest_keeps_components_in_few_edges(spark):
+    r = random.Random(6)
+    pairs = [(a, b) for g in range(5) for a, b in ((g + 5 * r.randrange(40), g + 5 * r.randrange(40)) for _ in range(400))] + [(7, 7), (None, 3)]
+    e = spark.createDataFrame(pairs, "u long, v long").repartition(3)
+    small = graph.forest(e)
+    assert small.count() < 3 * 200 and rows(graph.connected_components(small)) == rows(graph.connected_components(e))
+    assert not rows(graph.forest(e.limit(0)))

@@ -79,3 +79,19 @@ def test_fp_growth_of_a_size_grows_no_larger_sets(spark):
     want = [r for r in rows(baskets.fp_growth(b, 9)) if r[0] <= 3]
     assert rows(baskets.fp_growth(b, 9, 3)) == want and max(r[0] for r in want) == 3
     assert rows(baskets.fp_growth(b, 9, 1)) == [r for r in want if r[0] == 1]
+
+
+def test_labels_spread_as_by_hand(spark, monkeypatch):
+    r = random.Random(8)
+    e = sorted({(a, b) for a, b in ((r.randrange(60), r.randrange(60)) for _ in range(150)) if a < b})
+    near: dict = {}
+    for a, b in e:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    label = {x: x for x in near}
+    for _ in range(5):
+        label = {x: min((-sum(label[y] == k for y in n), k) for k in {label[y] for y in n})[1] for x, n in near.items()}
+    edges = spark.createDataFrame(e, "u long, v long")
+    assert dict(rows(graph.label_propagation(edges, repeated=False))) == dict(rows(graph.label_propagation(edges))) == label
+    monkeypatch.setattr(graph, "LABELS", 0)
+    assert dict(rows(graph.label_propagation(edges, repeated=False))) == label

@@ -95,3 +95,22 @@ def test_labels_spread_as_by_hand(spark, monkeypatch):
     assert dict(rows(graph.label_propagation(edges, repeated=False))) == dict(rows(graph.label_propagation(edges))) == label
     monkeypatch.setattr(graph, "LABELS", 0)
     assert dict(rows(graph.label_propagation(edges, repeated=False))) == label
+
+
+def test_betweenness_starts_once_for_vertices_with_the_same_neighbours(spark, monkeypatch):
+    r, of, e = random.Random(9), {}, set()
+    links = [(a, b) for a in range(9) for b in range(a + 1, 9) if r.random() < 0.4]
+    for k in range(40):
+        of.setdefault(k % 10, []).append(k)  # 9 has no link but those among its own
+    for a, b in links:
+        e |= {(min(x, y), max(x, y)) for x in of[a] for y in of[b]}
+    e |= {(x, y) for a in (1, 4, 9) for x in of[a] for y in of[a] if x < y}
+    near: dict = {}
+    for a, b in e:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    monkeypatch.setattr(graph, "SHIPPED", len(links))  # far fewer than there are edges
+    got = rows(graph.edge_betweenness(spark.createDataFrame(sorted(e), "u long, v long")))
+    want = graph.betweenness(near)
+    assert [x[:2] for x in got] == sorted(want) and len(e) > 4 * len(links)
+    assert all(abs(v - want[a, b]) < 1e-9 for a, b, v in got)

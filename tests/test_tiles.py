@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from affinis.operators import baskets, cf, graph, similarity
+from affinis.operators import baskets, cf, graph, similarity, tiles
 
 
 def rows(df):
@@ -116,6 +116,15 @@ def test_betweenness_starts_once_for_vertices_with_the_same_neighbours(spark, mo
     assert all(abs(v - want[a, b]) < 1e-9 for a, b, v in got)
 
 
+def test_communities_need_no_betweenness_in_plain_python(spark, monkeypatch):
+    e = spark.createDataFrame([(1, 2), (1, 3), (2, 3), (3, 4), (4, 5), (4, 6), (5, 6), (7, 8)], "u long, v long")
+    got = []
+    monkeypatch.setattr(graph, "betweenness", lambda *_: 1 / 0)
+    monkeypatch.setattr(graph, "whole", lambda edges, run, _: got.extend(run({1: {2, 3}, 2: {1, 3}, 3: {1, 2, 4}, 4: {3, 5, 6}, 5: {4, 6}, 6: {4, 5}, 7: {8}, 8: {7}})))
+    graph.girvan_newman(e)
+    assert [g for _, _, g in got] == [[7, 8], [1, 2, 3], [4, 5, 6]]
+
+
 def test_predictions_without_a_row_for_each_pair_and_item(spark, monkeypatch):
     r, sets = random.Random(10), crowded(seed=10)
     raw = spark.createDataFrame([(k, i, 2.0 if k % 7 == 0 else float(r.randint(1, 5))) for k, s in sets.items() for i in s for _ in range(r.randint(1, 2))], "user long, item long, stars double")

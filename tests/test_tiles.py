@@ -137,3 +137,29 @@ def test_predictions_without_a_row_for_each_pair_and_item(spark, monkeypatch):
     monkeypatch.setattr(cf, "predict_user", joined)
     got = {x[:2]: x[2] for x in rows(cf.predict_own(rated, raw))}
     assert got.keys() == want.keys() and len(got) > 500 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+@pytest.mark.parametrize("blocks", [12, 13])
+def test_a_block_travels_to_half_of_the_tasks(spark, blocks):
+    sets = crowded(seed=11)
+    p = table(spark, sets)
+    got = tiles.joined(p, "key", "item", blocks, tiles.counted(lambda c, na, nb: c >= 12), "common long, both long")
+    want = sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 12)
+    assert rows(got.select("a", "b", "common")) == want
+    assert tiles.dealt(spark.range(blocks).select(F.col("id").cast("int").alias("block")), blocks)[0].count() == blocks * (blocks + 1) // 2
+
+
+def test_pairs_that_share_a_late_band_are_found():
+    import numpy as np
+
+    r = np.random.default_rng(12)
+
+    class Signed:
+        def __init__(self):
+            self.sig = r.integers(0, 9, (60, 21))
+
+    a, b = Signed(), Signed()
+    at, to = (x.ravel() for x in np.meshgrid(np.arange(60), np.arange(60)))
+    for n in (1, 3, 7):
+        want = [any((a.sig[i, k : k + n] == b.sig[j, k : k + n]).all() for k in range(0, 21, n)) for i, j in zip(at, to, strict=True)]
+        assert tiles.sharing(a, b, at, to, n).tolist() == want

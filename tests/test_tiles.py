@@ -212,3 +212,15 @@ def test_numbers_are_rounded_in_a_tile_as_spark_rounds(spark):
     assert tiles.rounded(np.array(x), 6).tolist() == want
     found = tiles.in_places(lambda *_: (np.arange(len(x)), np.arange(len(x)), [np.array(x)]), 6)(None, None, None, 0, 0)
     assert found[2][0].tolist() == [v for v in want if v > 0] and [x[k] for k in found[0]] == [v for v, w in zip(x, want, strict=True) if w > 0]
+
+
+def test_similarities_are_rounded_alike_by_tiles_and_by_the_join(spark, monkeypatch):
+    # 105 and 119 of 128 items are in both: halves of the sixth place
+    sets = crowded(seed=14) | {200: set(range(128)), 201: set(range(105)), 202: set(range(9, 128)), 203: set(range(64))}
+    p = table(spark, sets)
+    lsh = lambda: rows(similarity.lsh_join(p, 0.4, 10, range(1, 40, 13), range(1, 3), places=6))
+    got, near, plain = rows(similarity.jaccard_join(p, 0.4, places=6)), lsh(), rows(similarity.jaccard_join(p, 0.4))
+    assert got == sorted(map(tuple, spark.createDataFrame(plain, "a long, b long, sim double").select("a", "b", F.round("sim", 6)).collect()))
+    assert (200, 201, 0.820313) in got and (200, 202, 0.929688) in got and near
+    monkeypatch.setattr(tiles, "pays", lambda *_: False)
+    assert got == rows(similarity.jaccard_join(p, 0.4, places=6)) and near == lsh()

@@ -224,3 +224,21 @@ def test_similarities_are_rounded_alike_by_tiles_and_by_the_join(spark, monkeypa
     assert (200, 201, 0.820313) in got and (200, 202, 0.929688) in got and near
     monkeypatch.setattr(tiles, "pays", lambda *_: False)
     assert got == rows(similarity.jaccard_join(p, 0.4, places=6)) and near == lsh()
+
+
+@pytest.mark.parametrize("least", [10, 99])
+def test_modularity_of_components_makes_no_edges(spark, monkeypatch, least):
+    from affinis.plans import catalog
+
+    r = random.Random(15)
+    sets = {k: set(r.sample(range(30 * (k % 3), 30 * (k % 3) + 30), r.randint(4, 25))) for k in range(150)}
+    p, call = table(spark, sets), lambda: [x.q for x in catalog.QUERIES["modularity"](spark, "").collect()]
+    near = {a: {b for b in sets if a != b and len(sets[a] & sets[b]) >= least} for a in sets}
+    near = {a: n for a, n in near.items() if n}
+    monkeypatch.setattr(catalog, "event_pairs", lambda *_: p)
+    monkeypatch.setattr(graph, "component_modularity", lambda pair_rows, _, whole=graph.component_modularity: whole(pair_rows, least))
+    monkeypatch.setattr(graph, "cooccurrence", lambda *_: pytest.fail("edges are made"))
+    want = [round(graph.quality(graph.parts(near), near, sum(map(len, near.values())) // 2), 6)] if near else [None]
+    assert similarity.tiled(p)[1] > 1 and len(graph.parts(near)) == 3 * bool(near) and call() == want
+    monkeypatch.setattr(tiles, "pays", lambda *_: False)
+    assert call() == want
